@@ -6,20 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geolith.llm import media_ts
+from geolith.llm import media_ts, secret_scan, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, sf_dir)).drop("found")
+
+
 def op8_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.stream_digests(_documents(spark, sf_dir))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archived_captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    said = F.element_at(F.try_element_at("metadata", F.lit(1))["fields"], "payload-bytes").cast("long")
+    return captures.select(
+        warc.page_of("response.record_id").alias("page_id"),
+        F.coalesce("response.payload_bytes", said).alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        warc.page_of("response.refers_to").alias("refers_to"),
+        F.size("requests").cast("long").alias("n_requests"),
+        F.size("metadata").cast("long").alias("n_metadata"),
+    )
+
+
+OP9 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS html FROM pages),
+d AS (SELECT page_id, octet_length(html) AS n, sha256(html) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to,
+       CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata
+FROM d LEFT JOIN f ON d.digest = f.digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_media_ts,)}
+    return {f.__name__: f for f in (op2_secret_scan, op8_media_ts, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9}
