@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geolith.llm import media_ts, secret_scan, warc
+from geolith.llm import media_ts, pii, secret_scan, sentencepiece_codec, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,23 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir)).drop("found")
 
 
+def model_path() -> str:
+    """The SentencePiece model: SENTENCEPIECE_MODEL, or the public vocabulary's file."""
+    if path := os.environ.get("SENTENCEPIECE_MODEL"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_digests(_documents(spark, sf_dir), model_path())
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_documents(spark, sf_dir)).drop("found")
+
+
 def op8_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.stream_digests(_documents(spark, sf_dir))
 
@@ -48,7 +66,7 @@ FROM d LEFT JOIN f ON d.digest = f.digest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op8_media_ts, op9_warc)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_sentencepiece, op5_pii, op8_media_ts, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ import functools
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,7 +29,7 @@ from geolith.llm.batches import small_batches, strings, text_of
 
 MARK = "▁"
 #: Words whose ids a worker keeps; the table is emptied when full.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 250_000
 KEPT_WORD_CHARS = 64
 
 _NORMAL, _USER_DEFINED, _BYTE = 1, 4, 6
@@ -173,33 +174,38 @@ class Codec:
         normal = [p for p, k in zip(pieces, kinds, strict=True) if k == _NORMAL]
         trainer = next((v for n, _, v, _ in fields if n == 2), b"")
         bpe = next((v for n, _, v, _ in _fields(trainer) if n == 3), 1) == 2
-        self.by_word = bpe and self.byte.any() and self.normaliser.identity and not any(MARK in p.lstrip(MARK) or " " in p or "\n" in p for p in normal)
+        self.by_word = bpe and "<0x0A>" in pieces and self.normaliser.identity and not any(MARK in p.lstrip(MARK) or " " in p or "\n" in p for p in normal)
         self.words: dict[str, tuple[str, bytes]] = {}
+        self.text = [str(i) for i in range(len(pieces))]
+        self.line_feed = next((i for i, p in enumerate(pieces) if p == "<0x0A>" and self.byte[i]), -1)
 
-    def _entry(self, ids: list[int]) -> tuple[str, bytes]:
-        return ",".join(map(str, ids)), np.array(ids, np.int32).tobytes()
-
-    def _learn(self, words: list[str]) -> dict[str, tuple[str, bytes]]:
-        """Entries of words that begin with a space or a line feed, or hold several lines."""
+    def _learn(self, words: set[str]) -> dict[str, tuple[str, bytes]]:
+        """Entries of words without inner line feeds: with their leading spaces, or from a line's start."""
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        made: dict[str, tuple[str, bytes]] = {}
-        lines = {w: re.findall(r"\n|[^\n]+", w) for w in words}
-        parts = list({p for some in lines.values() for p in some if p not in self.words})
-        parted = dict(zip(parts, map(self._entry, self.plain.encode(parts, num_threads=1)), strict=True))
-        for w, some in lines.items():
-            got = [parted.get(p) or self.words[p] for p in some]
-            made[w] = (",".join(g[0] for g in got), b"".join(g[1] for g in got))
-        self.words.update((w, e) for w, e in (parted | made).items() if len(w) <= KEPT_WORD_CHARS)
+        words.discard("\n")
+        listed, made = list(words), {"\n": (str(self.line_feed), array("i", [self.line_feed]).tobytes())}
+        if listed:  # no piece holds a line feed, so one call encodes all words, each on a line
+            ids = array("i", self.plain.encode("\n".join(listed)))
+            said = ",".join([self.text[i] for i in ids]).split(f",{self.line_feed},")
+            raw, ends = ids.tobytes(), np.flatnonzero(np.frombuffer(ids, np.int32) == self.line_feed).tolist()
+            made |= {w: (t, raw[4 * a : 4 * e]) for w, t, a, e in zip(listed, said, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)}
+        self.words.update((w, e) for w, e in made.items() if len(w) <= KEPT_WORD_CHARS)
         return made
 
     def _by_word(self, text: str) -> list[tuple[str, bytes]]:
-        words = [" " + w for w in text.split(" ")]
-        if " " in words[:-1] or words[-1] == " ":
-            words = re.findall(r" *[^ ]+| +", " " + text)
+        words: list[str] = []
+        for k, line in enumerate((" " + text).split("\n")):
+            if k:
+                words.append("\n")
+            if "  " in line or line[-1:] == " ":
+                words += re.findall(r" *[^ ]+| +", line)
+            elif line:
+                first, *rest = line.split(" ")
+                words += [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
         got = list(map(self.words.get, words))
         if None in got:
-            made = self._learn(list({w for w, g in zip(words, got, strict=True) if g is None}))
+            made = self._learn({w for w, g in zip(words, got, strict=True) if g is None})
             got = [g or made[w] for w, g in zip(words, got, strict=True)]
         return got
 
