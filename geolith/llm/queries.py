@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geolith.llm import media_ts, pii, secret_scan, sentencepiece_codec, warc
+from geolith.llm import lm, media_ts, pii, secret_scan, sentencepiece_codec, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_documents(spark, sf_dir)).drop("found")
 
 
+def op7_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op8_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.stream_digests(_documents(spark, sf_dir))
 
@@ -66,7 +70,7 @@ FROM d LEFT JOIN f ON d.digest = f.digest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_sentencepiece, op5_pii, op8_media_ts, op9_warc)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_sentencepiece, op5_pii, op7_lm_ppm, op8_media_ts, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
