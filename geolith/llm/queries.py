@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geolith.llm import lm, media_ts, pii, secret_scan, sentencepiece_codec, warc
+from geolith.llm import decontamination, lm, media_ts, pii, quality, secret_scan, sentencepiece_codec, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,19 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(_documents(spark, sf_dir), model_path())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_documents(spark, sf_dir)).drop("found")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_documents(spark, sf_dir))
 
@@ -70,7 +79,7 @@ FROM d LEFT JOIN f ON d.digest = f.digest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_sentencepiece, op5_pii, op7_lm_ppm, op8_media_ts, op9_warc)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_sentencepiece, op4_quality, op5_pii, op6_decontamination, op7_lm_ppm, op8_media_ts, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
