@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geolith.llm import decontamination, lm, media_ts, pii, quality, secret_scan, sentencepiece_codec, warc
+from geolith.llm import decontamination, licenses, lm, media_ts, pii, quality, secret_scan, sentencepiece_codec, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir)).drop("found")
 
@@ -79,8 +83,8 @@ FROM d LEFT JOIN f ON d.digest = f.digest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_sentencepiece, op4_quality, op5_pii, op6_decontamination, op7_lm_ppm, op8_media_ts, op9_warc)}
+    return {f.__name__: f for f in (op1_licenses, op2_secret_scan, op3_sentencepiece, op4_quality, op5_pii, op6_decontamination, op7_lm_ppm, op8_media_ts, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9}
+    return {"op1_licenses": licenses.sql(), "op9_warc": OP9}
