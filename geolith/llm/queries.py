@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geolith.llm import decontamination, licenses, lm, media_ts, pii, quality, secret_scan, sentencepiece_codec, warc
+from geolith.llm import decontamination, licenses, lm, media_ts, ngram_join, pii, quality, secret_scan, sentencepiece_codec, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_documents(spark, sf_dir), words_in_gram=4, percent=85)
+
+
 OP9 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS html FROM pages),
 d AS (SELECT page_id, octet_length(html) AS n, sha256(html) AS digest FROM p),
@@ -82,9 +86,21 @@ FROM d LEFT JOIN f ON d.digest = f.digest
 """
 
 
+OP10 = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+r AS (SELECT doc_id AS x, doc_id AS root FROM d UNION SELECT l.y, r.root FROM r JOIN l ON r.x = l.x WHERE r.root < l.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(root) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_secret_scan, op3_sentencepiece, op4_quality, op5_pii, op6_decontamination, op7_lm_ppm, op8_media_ts, op9_warc)}
+    return {f.__name__: f for f in (op1_licenses, op2_secret_scan, op3_sentencepiece, op4_quality, op5_pii, op6_decontamination, op7_lm_ppm, op8_media_ts, op9_warc, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.sql(), "op9_warc": OP9}
+    return {"op1_licenses": licenses.sql(), "op9_warc": OP9, "op10_ngram_join": OP10}
