@@ -274,21 +274,25 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, decoded string")
 
 
-def encode_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256: digests of what encode() returns, made where the ids are."""
+def encode_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 and spans_sha256: digests of what encode() returns, made where the ids are; with_ids adds the ids."""
     small_batches(df.sparkSession)
     rows = text_of(df, id_col, text_col)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
 
-    def digest(c: Codec, text: str) -> tuple[int, str, str, str]:
+    def digest(c: Codec, text: str) -> tuple[int, str, str, str, np.ndarray]:
         e, said = c.encode_joined(text)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        return len(e.ids), sha(said.encode()), sha(c.decode(e.ids.tolist()).encode()), sha(e.ends.astype("<i8").tobytes())
+        return len(e.ids), sha(said.encode()), sha(c.decode(e.ids.tolist()).encode()), sha(e.ends.astype("<i8").tobytes()), e.ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
             made = [digest(c, t) for t in strings(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([m[k] for m in made], pa.string() if k else pa.int64()) for k in range(4)]], names=[id_col, *names])
+            columns = [pa.array([m[k] for m in made], pa.string() if k else pa.int64()) for k in range(4)]
+            if with_ids:
+                columns.append(pa.array([m[4] for m in made], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, *names, *["ids"] * with_ids])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    schema = f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+    return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids)
