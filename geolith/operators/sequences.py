@@ -92,15 +92,17 @@ def smoothed_window(vertices: DataFrame, key: str, radius: float) -> DataFrame:
     times path length over the two half windows give the mean without a self join.
     """
     along = with_step(vertices, key).withColumn("along", F.sum(F.coalesce("step", F.lit(0.0))).over(_order(key)))
-    w = W.partitionBy(key).orderBy("along")
-    before, after = w.rangeBetween(-radius, 0), w.rangeBetween(0, radius)
-    here, same = F.col("along"), w.rangeBetween(0, 0)
 
-    def total(value: Column) -> Column:
-        """Sum of value * (radius - |distance|) over both sides; vertices at the very place stand in both and are taken out once."""
-        left = (radius - here) * F.sum(value).over(before) + F.sum(value * here).over(before)
-        right = (radius + here) * F.sum(value).over(after) - F.sum(value * here).over(after)
-        return left + right - radius * F.sum(value).over(same)
+    def window(value: str, start: str, end: str) -> Column:
+        return F.expr(f"sum({value}) OVER (PARTITION BY `{key}` ORDER BY along RANGE BETWEEN {start} AND {end})")
 
-    weight = total(F.lit(1.0))
-    return along.select(key, "idx", (total(F.col("x")) / weight).alias("x"), (total(F.col("y")) / weight).alias("y"))
+    def total(value: str) -> Column:
+        """Sum of value * (radius - |distance|) over both sides; vertices at the very place stand in both and are taken out once."""
+        reach, here = f"{radius!r}D", F.col("along")
+        before, after, same = (f"{reach} PRECEDING", "CURRENT ROW"), ("CURRENT ROW", f"{reach} FOLLOWING"), ("CURRENT ROW", "CURRENT ROW")
+        left = (radius - here) * window(value, *before) + window(f"{value} * along", *before)
+        right = (radius + here) * window(value, *after) - window(f"{value} * along", *after)
+        return left + right - radius * window(value, *same)
+
+    weight = total("1.0D")
+    return along.select(key, "idx", (total("x") / weight).alias("x"), (total("y") / weight).alias("y"))

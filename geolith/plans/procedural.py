@@ -1 +1,178 @@
-"""Queries."""
+"""Queries of clipping, simplification, smoothing, amalgamation and projection of whole geometries."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Window as W
+
+from geolith import schema
+from geolith.functions import codec, text
+from geolith.operators import project, spatial
+from geolith.operators.regions import Box, Circle, Sphere
+from geolith.plans.fixtures import SQL, boxes, points, square, stars, table, tiles, trajectories, with_
+from geolith.plans.registry import query
+
+_WINDOW = Box(200, 200, 600, 600)
+_OVERLAP = "greatest(0, least(x0 + side, 600) - greatest(x0, 200)) * greatest(0, least(y0 + side, 600) - greatest(y0, 200))"
+
+
+def _squares(spark: SparkSession, sf: str) -> DataFrame:
+    """Part squares twenty times as wide, as geometries."""
+    side = F.col("side") * 20
+    return boxes(spark, sf).select("p_partkey", schema.geometry(polys=F.array(F.array(square(F.col("x0"), F.col("y0"), side)))).alias("geom"))
+
+
+_WIDE = "WITH " + SQL["boxes"].replace("p_size / CAST(10 AS DOUBLE) AS side", "p_size / CAST(10 AS DOUBLE) * 20 AS side") + "\n"
+
+
+@query(_WIDE + f"SELECT p_partkey, round({_OVERLAP}, 4) AS area FROM boxes")
+def polyclip_box(spark: SparkSession, sf: str) -> DataFrame:
+    return _squares(spark, sf).select("p_partkey", F.round(spatial.area(spatial.polyclip(F.col("geom"), _WINDOW)), 4).alias("area"))
+
+
+@query(_WIDE + f"SELECT p_partkey, round(side * side - {_OVERLAP}, 4) AS area FROM boxes")
+def polycut_box(spark: SparkSession, sf: str) -> DataFrame:
+    return _squares(spark, sf).select("p_partkey", F.round(spatial.area(spatial.polycut(F.col("geom"), _WINDOW)), 4).alias("area"))
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps of every user's trajectory as two-point lines; repeated places make none."""
+    w = W.partitionBy("user_id").orderBy("idx")
+    step = trajectories(spark, sf).withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).where("nx is not null and (nx <> x or ny <> y)")
+    line = F.array(schema.point(F.col("x"), F.col("y")), schema.point(F.col("nx"), F.col("ny")))
+    return step.groupBy("user_id").agg(schema.geometry(lines=F.collect_list(line)).alias("geom"))
+
+
+_PANE = Box(20, -30, 180, 40)
+_STEPS = "WITH " + SQL["traj"] + """, s AS (SELECT user_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+t AS (SELECT *, greatest(0, CASE WHEN x1 > x2 THEN (x1 - 180) / (x1 - x2) ELSE 0 END, CASE WHEN x2 > x1 THEN (20 - x1) / (x2 - x1) ELSE 0 END, CASE WHEN y2 > y1 THEN (-30 - y1) / (y2 - y1) ELSE 0 END, CASE WHEN y1 > y2 THEN (y1 - 40) / (y1 - y2) ELSE 0 END) AS t0,
+  least(1, CASE WHEN x1 > x2 THEN (x1 - 20) / (x1 - x2) ELSE 1 END, CASE WHEN x2 > x1 THEN (180 - x1) / (x2 - x1) ELSE 1 END, CASE WHEN y2 > y1 THEN (40 - y1) / (y2 - y1) ELSE 1 END, CASE WHEN y1 > y2 THEN (y1 + 30) / (y1 - y2) ELSE 1 END) AS t1, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len FROM s WHERE x2 IS NOT NULL),
+u AS (SELECT user_id, len, CASE WHEN (x1 = x2 AND (x1 <= 20 OR x1 >= 180)) OR (y1 = y2 AND (y1 <= -30 OR y1 >= 40)) THEN 0 ELSE greatest(0, t1 - t0) END AS inside, CASE WHEN (x1 = x2 AND x1 IN (20, 180) AND least(y1, y2) < 40 AND greatest(y1, y2) > -30) OR (y1 = y2 AND y1 IN (-30, 40) AND least(x1, x2) < 180 AND greatest(x1, x2) > 20) THEN greatest(0, t1 - t0) ELSE 0 END AS edge FROM t)
+"""
+
+
+@query(_STEPS + "SELECT user_id, round(sum(len * inside), 3) AS length FROM u GROUP BY user_id")
+def lineclip_box(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).select("user_id", F.round(spatial.length(spatial.lineclip(F.col("geom"), _PANE)), 3).alias("length"))
+
+
+@query(_STEPS + "SELECT user_id, round(sum(len * (1 - inside - edge)), 3) AS length FROM u GROUP BY user_id")
+def linecut_box(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).select("user_id", F.round(spatial.length(spatial.linecut(F.col("geom"), _PANE)), 3).alias("length"))
+
+
+def _star_geometries(spark: SparkSession, sf: str) -> DataFrame:
+    return stars(spark, sf).select("vec_id", schema.geometry(polys=F.array("polygon")).alias("geom"))
+
+
+def _split_is_whole(df: DataFrame, region, tolerance: float) -> DataFrame:
+    """Whether the parts inside and outside a region make up each polygon."""
+    whole = spatial.area(F.col("geom"))
+    parts = spatial.area(F.col("inside")) + spatial.area(F.col("outside"))
+    both = df.select("vec_id", "geom", spatial.polyclip(F.col("geom"), region).alias("inside"), spatial.polycut(F.col("geom"), region).alias("outside"))
+    return both.select("vec_id", (F.abs(whole - parts) <= tolerance * whole).alias("whole"))
+
+
+@query("SELECT vec_id, true AS whole FROM embeddings")
+def polygon_split_box(spark: SparkSession, sf: str) -> DataFrame:
+    return _split_is_whole(_star_geometries(spark, sf), Box(-100, -40, 95, 42), 1e-9)
+
+
+@query("SELECT vec_id, true AS whole FROM embeddings")
+def polygon_split_circle(spark: SparkSession, sf: str) -> DataFrame:
+    return _split_is_whole(_star_geometries(spark, sf), Circle(0, 0, 60), 1e-2)
+
+
+@query()
+def polyclip_sphere(spark: SparkSession, sf: str) -> DataFrame:
+    cut = spatial.polyclip(F.col("geom"), Sphere(25, 60, 2e6))
+    return _star_geometries(spark, sf).select("vec_id", F.round(spatial.area(cut), 4).alias("area")).where("area > 0")
+
+
+@query()
+def lineclip_circle(spark: SparkSession, sf: str) -> DataFrame:
+    return _star_geometries(spark, sf).select("vec_id", F.round(spatial.length(spatial.lineclip(F.col("geom"), Circle(0, 0, 60))), 4).alias("length"))
+
+
+@query()
+def linecut_circle(spark: SparkSession, sf: str) -> DataFrame:
+    return _star_geometries(spark, sf).select("vec_id", F.round(spatial.length(spatial.linecut(F.col("geom"), Circle(0, 0, 60))), 4).alias("length"))
+
+
+@query()
+def simplify_vw(spark: SparkSession, sf: str) -> DataFrame:
+    rings = stars(spark, sf).select("vec_id", F.col("ring").alias("points"))
+    return spatial.simplify(rings, 0.2, "vec_id", shared=False).select("vec_id", F.size("points").alias("vertices"))
+
+
+@query()
+def smooth_average(spark: SparkSession, sf: str) -> DataFrame:
+    return _smoothed(spark, sf, "average")
+
+
+@query()
+def smooth_taubin(spark: SparkSession, sf: str) -> DataFrame:
+    return _smoothed(spark, sf, "taubin")
+
+
+def _smoothed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    from geolith.functions.metrics import area_planar
+
+    rings = stars(spark, sf).select("vec_id", F.col("ring").alias("points"))
+    out = spatial.smooth(rings, kind, 1.0, 2, "vec_id", shared=False)
+    return out.select("vec_id", F.size("points").alias("vertices"), F.round(area_planar(F.col("points")), 6).alias("area"))
+
+
+@query()
+def amalgamate(spark: SparkSession, sf: str) -> DataFrame:
+    polygons = boxes(spark, sf).where("side > 0").select("p_partkey", F.array(square(F.col("x0"), F.col("y0"), F.col("side"))).alias("polygon"))
+    joined = spatial.amalgamate(polygons, "p_partkey", 8.0, 4.0, mainland=24.0)
+    return joined.select(F.round("area", 4).alias("area"), F.size("polygon").alias("rings"))
+
+
+def _merc(lon: float, lat: float) -> tuple[float, float]:
+    if abs(lat) >= 89.9999:
+        return math.nan, math.nan
+    return 6378137.0 * math.radians(lon), 6378137.0 * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
+
+
+@query()
+def interrupt_cut_project(spark: SparkSession, sf: str) -> DataFrame:
+    """Stars through Mercator within bounds, cut at the antimeridian first."""
+    seams = project.interrupt("+proj=merc +lon_0=0")
+
+    def run(geom):
+        cut = project.interrupted(geom, seams)
+        return None if cut is None else project.project(cut, _merc, (-2e7, -1.5e7, 2e7, 1.5e7))
+
+    moved = _star_geometries(spark, sf).select("vec_id", spatial.mapped(run)(F.col("geom")).alias("geom")).where("geom is not null")
+    return moved.select("vec_id", schema.geometry_type(F.col("geom")).alias("type"), F.round(spatial.area(F.col("geom")) / 1e10, 3).alias("area"))
+
+
+@query(with_("tiles") + "SELECT n_nationkey, 'POLYGON ((' || a || ' ' || b || ',' || c || ' ' || b || ',' || c || ' ' || d || ',' || a || ' ' || d || ',' || a || ' ' || b || '))' AS wkt FROM (SELECT n_nationkey, CAST(CAST(x0 AS INT) AS VARCHAR) AS a, CAST(CAST(y0 AS INT) AS VARCHAR) AS b, CAST(CAST(x0 + 72 AS INT) AS VARCHAR) AS c, CAST(CAST(y0 + 34 AS INT) AS VARCHAR) AS d FROM tiles)")
+def geom_wkt_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """WKT of a polygon, read and written as binary, read again and written as WKT."""
+    x0, y0 = F.col("x0"), F.col("y0")
+    corners = [(x0, y0), (x0 + 72.0, y0), (x0 + 72.0, y0 + 34.0), (x0, y0 + 34.0), (x0, y0)]
+    said = text.wkt(schema.geometry(polys=F.array(F.array(F.array(*[schema.point(*c) for c in corners])))), 2)
+    back = tiles(spark, sf).select("n_nationkey", codec.from_wkb(codec.to_wkb(codec.from_wkt(said))).alias("g"))
+    return back.select("n_nationkey", text.wkt(F.col("g"), 2).alias("wkt"))
+
+
+@query(with_("points") + "SELECT l_orderkey % 100 AS k, CASE WHEN count(*) > 1 THEN 'MULTIPOINT' ELSE 'POINT' END AS type, CAST(count(*) AS BIGINT) AS n FROM points GROUP BY 1")
+def geometry_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces collected into the least geometry that holds them."""
+    p = schema.point(F.col("x"), F.col("y"))
+    none = F.array()
+    built = points(spark, sf).groupBy((F.col("l_orderkey") % 100).alias("k")).agg(schema.collected(none.cast(schema.T.ArrayType(schema.POLYGON)), none.cast(schema.T.ArrayType(schema.RING)), F.array(p)).alias("g"))
+    return built.select("k", schema.geometry_type(F.col("g")).alias("type"), F.size("g.points").cast("long").alias("n"))
+
+
+@query("SELECT c_custkey, c_name, coalesce(c_mktsegment, '') AS c_mktsegment FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0")
+def feature_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A filtered scan of chosen attributes; the filter and the columns reach the file scan."""
+    from geolith.sources.features import read_features
+
+    return read_features(table(spark, sf, "customer"), ["c_custkey", "c_name", "c_mktsegment"], "c_nationkey = 7 AND c_acctbal > 0", compatible=True)

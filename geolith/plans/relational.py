@@ -72,7 +72,7 @@ def crs_known_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH " + SQL["boxes"] + """, inner_ AS (SELECT p_partkey AS hole, x0 + side / 2 AS x, y0 + side / 2 AS y FROM boxes),
 outer_ AS (SELECT p_partkey AS ext, x0 - 20 AS w, x0 + side + 20 AS e, y0 - 20 AS s, y0 + side + 20 AS n, (side + 40) * (side + 40) AS area FROM boxes)
-SELECT hole, arg_min(ext, {'a': area, 'k': ext}) AS ext FROM inner_ JOIN outer_ ON x > w AND x < e AND y > s AND y < n GROUP BY hole""")
+SELECT hole, arg_min(ext, {'a': area, 'k': ext}) AS ext FROM inner_ JOIN outer_ ON x >= w AND x < e AND y >= s AND y < n GROUP BY hole""")
 def hole_assignment_smallest(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf)
     holes = b.select(F.col("p_partkey").alias("hole"), (F.col("x0") + F.col("side") / 2).alias("x"), (F.col("y0") + F.col("side") / 2).alias("y"))
@@ -188,7 +188,7 @@ def grid_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({n: F.round(F.col(n), 6) for n in ("px", "py")})
 
 
-@query(f"WITH g AS ({_GRID}) SELECT i, j, CASE WHEN i % 7 = 3 THEN 'oblong' WHEN j >= 20 THEN 'counterclockwise' ELSE 'clockwise' END AS quality FROM g WHERE i < 36 AND j < 34")
+@query(f"WITH g AS ({_GRID}) SELECT i, j, CASE WHEN i % 7 = 3 THEN 'oblong' WHEN j >= 20 THEN 'clockwise' ELSE 'counterclockwise' END AS quality FROM g WHERE i < 36 AND j < 34")
 def grid_cell_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of a bent grid: squeezed columns, and rows that run the other way from the twentieth on."""
     i, j = F.col("i"), F.col("j")
@@ -228,7 +228,7 @@ def boolmatrix_bbox(spark: SparkSession, sf: str) -> DataFrame:
     return grid.mask_box(a.withColumn("flag", F.col("flag") & F.col("i").between(5, 30) & (F.col("j") > 7)), 37, 35)
 
 
-@query(f"WITH {_MASKS} SELECT CAST(sum(CASE WHEN j >= 20 THEN 0 ELSE 1 END) AS BIGINT) AS cw, CAST(sum(CASE WHEN j >= 20 THEN 1 ELSE 0 END) AS BIGINT) AS ccw, false AS needs_flipping FROM g WHERE i < 36 AND j < 34 AND i % 7 <> 3")
+@query(f"WITH {_MASKS} SELECT CAST(sum(CASE WHEN j >= 20 THEN 1 ELSE 0 END) AS BIGINT) AS cw, CAST(sum(CASE WHEN j >= 20 THEN 0 ELSE 1 END) AS BIGINT) AS ccw, false AS needs_flipping FROM g WHERE i < 36 AND j < 34 AND i % 7 <> 3")
 def grid_handedness(spark: SparkSession, sf: str) -> DataFrame:
     return grid.needs_flipping(grid_cell_quality(spark, sf))
 
