@@ -141,6 +141,7 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
         for level in levels:
             c = np.where(open_, level[rows % len(level)], 0).astype(float)
             n, kinds = c.sum(axis=1), (c > 0).sum(axis=1)
+            kinds = np.where(kinds == open_.sum(axis=1), 0, kinds)  # no byte is left to escape to
             p += mass[:, None] * c / np.maximum(n + kinds, 1)[:, None]
             mass = np.where(n > 0, mass * kinds / np.maximum(n + kinds, 1), mass)
             open_ &= c == 0

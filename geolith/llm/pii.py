@@ -34,7 +34,7 @@ from geolith.llm.batches import small_batches, strings, text_of
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: A run of nodes becomes a span when each is believed this much.
-BELIEF = 0.9
+BELIEF = 0.8
 ROUNDS = 12
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
