@@ -42,8 +42,8 @@ def _record(kind: str, record_id: str, block: bytes, content: str, **fields: str
     return _VERSION + head.encode() + block + b"\r\n\r\n"
 
 
-def _capture(page: int | None, url: str, html: bytes, digest: str, first: int | None) -> bytes:
-    me = f"<urn:page:{'' if page is None else page}:{uuid.uuid4().hex}>"
+def _capture(row: int, page: int | None, url: str, html: bytes, digest: str, first: int | None) -> bytes:
+    me = f"<urn:page:{'' if page is None else page}:{row:x}>"
     url = re.sub(r"\s", "%20", url)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
     said = {"WARC_Target_URI": url, "WARC_Payload_Digest": f"sha256:{digest}"}
@@ -61,17 +61,18 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Rows of archive bytes, a few MB each. Of equal payloads of revisit_bytes or more the smallest id is a response and the others revisit it."""
     small_batches(pages.sparkSession)
     html = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
+    row = F.monotonically_increasing_id().alias("row")  # of the scan: the same when a task runs again
+    rows = pages.select(row, F.col(f"`{id_col}`").cast("long").alias("page"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
     large = F.octet_length("html") >= revisit_bytes
     again = rows.where(large).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
     again = materialised(again)  # a plain scan: small, it is broadcast by its size; large, the adaptive join splits hot digests
-    rows = rows.join(again, "digest", "left").select("page", "url", "html", "digest", F.when((F.col("page") != F.col("first")) | F.col("page").isNull(), F.col("first")).alias("first"))
+    rows = rows.join(again, "digest", "left").select("row", "page", "url", "html", "digest", F.when((F.col("page") != F.col("first")) | F.col("page").isNull(), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for page, url, payload, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.append(_capture(page, url, payload, digest, first))
+            for row, page, url, payload, digest, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(_capture(row, page, url, payload, digest, first))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield _archive(b"".join(held))
