@@ -122,7 +122,7 @@ def test_similar_tokens_share_a_label():
     text = "call +1 (487) 555-7209 soon or 14875557209 then pay 4736962573099581 not 4736962573099582 to x.90@mail2.example.com or x.90@mail2 in 2024 for 300"
     base, every = pii.find(text, w)
     said = {(k, text[s:e]) for k, s, e in set(every) - set(base)}
-    assert said == {("phone", "14875557209"), ("card", "4736962573099581"), ("email", "x.90@mail2")}
+    assert said == {("phone", "14875557209"), ("card", "4736962573099582"), ("email", "x.90@mail2")}
     assert set(base) <= set(every)
     clean = "in 2024 we sold 300 of 12.5 at v1.2.3 on 2023-01-02 for $500 to @anna1"
     assert pii.find(clean, w) == ([], [])
