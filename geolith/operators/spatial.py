@@ -7,6 +7,7 @@ only rows that cross a region reach Python.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -114,6 +115,38 @@ def length(geom: Column) -> Column:
     return F.aggregate(geom["lines"], F.lit(0.0), lambda acc, r: acc + length_planar(r))
 
 
+def transform(geom: Column, projection: str, bounds: tuple[float, float, float, float], densify_km: float = 50.0, jump_km: float = 500.0) -> Column:
+    """lon/lat geometry in a projection, without its seams and within bounds; null where nothing is left."""
+    from geolith.operators import project
+
+    return mapped(lambda g: project.transform(g, projection, bounds, densify_km, jump_km))(geom)
+
+
+def overlay(geom: Column, polygons: list[regions.Polygon], how: str) -> Column:
+    """intersection, difference or union of a column's polygons with fixed ones; lines and points stay."""
+    return mapped(lambda g: regions.Geometry(triangulation.overlay(g.polys, polygons, how), g.lines, g.points))(geom)
+
+
+def expand(geom: Column, metres: float) -> Column:
+    """lon/lat geometry widened by metres in Mercator, exterior rings only: lines by the distance, points and polygons by twice it."""
+    from geolith.operators import project
+
+    to = project.forward("+proj=merc")
+
+    def back(p: regions.Point) -> regions.Point:
+        return math.degrees(p[0] / 6378137.0), math.degrees(2 * math.atan(math.exp(p[1] / 6378137.0)) - math.pi / 2)
+
+    def run(g: regions.Geometry) -> regions.Geometry:
+        flat = lambda r: [to(*p) for p in r]
+        rings = [r for line in g.lines for r in triangulation.buffer(flat(line), metres)]
+        rings += [r for p in g.points for r in triangulation.buffer([to(*p)], 2 * metres)]
+        rings += [p[0] for poly in g.polys for p in triangulation.union([[flat(poly[0])], *[[r] for r in triangulation.buffer(flat(poly[0]), 2 * metres)]])]
+        merged = triangulation.union([[r] for r in rings]) if len(rings) > 1 else [[r] for r in rings]
+        return regions.Geometry([[[back(p) for p in poly[0]]] for poly in merged], [], [])
+
+    return mapped(run)(geom)
+
+
 # -- sets of paths ------------------------------------------------------------
 
 _PATH = "array<struct<x double, y double>>"

@@ -176,3 +176,32 @@ def feature_scan(spark: SparkSession, sf: str) -> DataFrame:
     from geolith.sources.features import read_features
 
     return read_features(table(spark, sf, "customer"), ["c_custkey", "c_name", "c_mktsegment"], "c_nationkey = 7 AND c_acctbal > 0", compatible=True)
+
+
+@query(_WIDE + f"SELECT p_partkey, round({_OVERLAP}, 4) AS area FROM boxes")
+def overlay_intersection(spark: SparkSession, sf: str) -> DataFrame:
+    """Squares overlaid with a fixed square."""
+    window = [[_WINDOW.ring()]]
+    return _squares(spark, sf).select("p_partkey", F.round(spatial.area(spatial.overlay(F.col("geom"), window, "intersection")), 4).alias("area"))
+
+
+@query()
+def transform_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Stars in an equal-area view of Europe, within its bounds."""
+    moved = spatial.transform(F.col("geom"), "+proj=laea +lat_0=52 +lon_0=10", (-4e6, -4e6, 4e6, 4e6))
+    return _star_geometries(spark, sf).select("vec_id", moved.alias("geom")).where("geom is not null").select("vec_id", F.round(spatial.area(F.col("geom")) / 1e9, 2).alias("area"))
+
+
+@query()
+def expand_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Trajectory-like lines widened by metres."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 100 - 50).cast("double").alias("x"))
+    line = F.array(schema.point(F.col("x"), F.lit(0.0)), schema.point(F.col("x") + 1.0, F.lit(0.0)), schema.point(F.col("x") + 1.0, F.lit(1.0)))
+    return rows.select("s_suppkey", F.round(spatial.area(spatial.expand(schema.geometry(lines=F.array(line)), 10_000.0)), 6).alias("area"))
+
+
+@query("SELECT unnest([4326, 4258, 3857, 3395, 3035, 4087, 32661]) AS srid, unnest([true, true, false, false, false, false, false]) AS is_geographic")
+def crs_table(spark: SparkSession, sf: str) -> DataFrame:
+    from geolith.functions import crs
+
+    return crs.table(spark).select("srid", "is_geographic")
