@@ -128,7 +128,7 @@ def _smoothed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 @query()
 def amalgamate(spark: SparkSession, sf: str) -> DataFrame:
     polygons = boxes(spark, sf).where("side > 0").select("p_partkey", F.array(square(F.col("x0"), F.col("y0"), F.col("side"))).alias("polygon"))
-    joined = spatial.amalgamate(polygons, "p_partkey", 8.0, 4.0, mainland=24.0)
+    joined = spatial.amalgamate(polygons, "p_partkey", 1.0, 4.0, mainland=24.0)
     return joined.select(F.round("area", 4).alias("area"), F.size("polygon").alias("rings"))
 
 
