@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _value(v):
-    if v is None or v != v:
+    if v is None or v is pandas.NA or v != v:
         return "~"
     if isinstance(v, float):
         return int(v) if v == int(v) else round(v, 9)
