@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,12 @@ def materialised(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

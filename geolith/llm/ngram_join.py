@@ -7,16 +7,19 @@ connected components of all links, without emitting a group's pairs.
 
 Candidates meet in two rounds:
 
-1. Classes that share a minimum hash meet in blocks of bounded size with their
-   whole sets. A signature tree over each block holds, in every node, the OR of
-   its sets' bitmaps and their size range; a dual traversal drops node pairs
-   whose largest possible overlap is too small, or that are already connected,
-   and verifies the rest exactly. Links leave a block as stars.
-2. The prefix of a set, in an order of all grams that puts frequent ones last,
-   shares a gram with the prefix of every set it can link with. Classes of
-   different components that share a prefix gram meet with their bitmaps; the
-   same traversal, now between components only, gives candidate pairs, which
-   are verified exactly. Large groups are split into blocks that meet in pairs.
+1. Classes that share two minimum hashes meet in blocks of bounded size with
+   their whole sets. A signature tree over each block holds, in every node, the
+   OR of its sets' bitmaps and their size range; a dual traversal drops node
+   pairs whose largest possible overlap is too small, or that are already
+   connected, and verifies the rest exactly. Links leave a block as stars.
+2. The prefix of a set, in any one order of all grams, shares several grams
+   (shared_least) with the prefix of every set it can link with. Classes whose
+   prefix shares fewer with other components can link no further and go. Among
+   the classes left all grams are counted, and prefixes taken again with rare
+   grams first: a set with enough grams of its own shares none and goes too.
+   The rest meet, for every gram they share, with their bitmaps; the same
+   traversal, now between components only, gives candidate pairs, which are
+   verified exactly. Large groups are split into blocks that meet in pairs.
 
 No link is lost: round 1 only saves work, round 2 covers every pair. Components
 are found by star contraction in shuffles. What is sent to every task is bounded:
@@ -37,17 +40,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geolith.llm.batches import materialised, small_batches, text_buffer
+from geolith.llm.batches import materialised, release, small_batches, text_buffer
 from geolith.llm.words import Words, grams, mix, words
 
 #: Grams in more than this share of a task's documents are counted as possibly frequent.
 FREQUENT = 1e-3
 FREQUENT_LEAST = 64
+#: Pairs of minimum hashes by which classes meet.
 ROUTES = 3
+_TURNS = mix(np.arange(1, 2 * ROUTES + 1, dtype=np.uint64)) | np.uint64(1)
 BLOCK = 512
 PAIR_BLOCK = 1024
 BUCKETS = 1 << 20
 LARGEST_BITMAP = 1 << 14
+#: A prefix is longer by one gram for so many grams of the set.
+PER_SHARED = 8
 LEAF, FAN_OUT = 16, 8
 
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -96,6 +103,11 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def shared_least(n: int) -> int:
+    """Grams that a set's prefix is long enough to share with every set it links with; grows with the set."""
+    return 1 + n // PER_SHARED
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(a) + len(b)
     same = both - len(np.union1d(a, b))
@@ -255,7 +267,8 @@ def _describe(n: int, percent: int) -> Callable:
             kind = b.schema.field(0).type
             sets = list(_groups(*text_buffer(b.column(1)), n))
             docs += len(sets)
-            mins = [[int(mix(s ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).min().view(np.int64)) if len(s) else None for s in sets] for k in range(ROUTES)]
+            least = [[(s * t).min() for t in _TURNS] if len(s) else None for s in sets]
+            mins = [[None if m is None else int(mix(mix(m[2 * k : 2 * k + 1]) + m[2 * k + 1]).view(np.int64)[0]) for m in least] for k in range(ROUTES)]
             empty = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(m, pa.int64()) for m in mins], empty, empty], names=names)
             if sets:
@@ -284,6 +297,37 @@ def _frequent(tables: list[tuple[np.ndarray, np.ndarray]], docs: int) -> tuple[n
     return g[keep], c[keep]
 
 
+def _among(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(often):
+        return np.zeros(len(s), bool)
+    return often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows (gram, cid, root ^ cid) sorted by gram, with root, the size of each row's group and whether it has several roots. Frequent grams are not among them, so groups are small."""
+    held = [np.zeros(0, np.int64)] * 3
+    for b in _and_end(batches):
+        rows = held if b is None else [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns, strict=True)]
+        gram = rows[0]
+        if not len(gram):
+            continue
+        heads = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        end = len(gram) if b is None else int(heads[-1])  # the last group may go on
+        held = [x[end:] for x in rows]
+        heads = heads[heads < end]
+        if len(heads):
+            size = np.diff(np.r_[heads, end])
+            root = rows[2][:end] ^ rows[1][:end]
+            mixed = np.minimum.reduceat(root, heads) < np.maximum.reduceat(root, heads)
+            yield gram[:end], rows[1][:end], root, np.repeat(size, size), np.repeat(mixed, size)
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _bucket(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(BUCKETS))
 
@@ -334,7 +378,6 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in
     routes = classes.select("cid", "rep", F.explode(F.array(*[F.xxhash64(F.lit(k), m) for k, m in enumerate(mins)])).alias("route"))
     shared = materialised(routes.groupBy("route").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     met = materialised(_only(routes, "route", shared, "route").join(shared, "route"))
-    some = met.select("cid", "rep").distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,12 +386,13 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(bits, pa.binary())], names=["rep", "cid", "grams", "bits"])
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """Whole sets and bitmaps of classes (cid, rep), made from their least document."""
+        """wanted (cid, rep, ...) with the whole sets and bitmaps of its classes, made from their least documents."""
         made = _only(docs.where("id is not null"), "id", wanted, "rep").mapInArrow(sets, f"rep {kind}, cid bigint, grams binary, bits binary")
-        return made.join(wanted.select("cid", "rep"), ["cid", "rep"]).drop("rep")
+        return made.join(wanted, ["cid", "rep"]).drop("rep")
 
-    blocks = met.select("cid", "route", F.pmod(F.xxhash64("cid", "route"), F.ceil(F.col("size") / BLOCK)).alias("block"))
-    blocks = blocks.join(sets_of(some).drop("bits"), "cid").select("route", "block", "cid", "grams")
+    block = F.pmod(F.xxhash64("cid", "route"), F.ceil(F.col("size") / BLOCK))
+    blocks = met.groupBy("cid", "rep").agg(F.collect_set(F.struct("route", block.alias("block"))).alias("meets"))
+    blocks = sets_of(materialised(blocks)).select("cid", "grams", F.explode("meets").alias("meet")).select("meet.route", "meet.block", "cid", "grams")
 
     def verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 2):
@@ -357,33 +401,74 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in
 
     links = materialised(blocks.repartition("route", "block").sortWithinPartitions("route", "block").mapInArrow(verify_blocks, "a bigint, b bigint"))
     roots = components(links)
+    release(spark)
 
-    # round 2
+    # round 2: classes that share enough of their prefixes with other components
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for b in batches:
-            cids, found = [], []
+            cids, rare, hot = [], [], []
             for s in _groups(*text_buffer(b.column(1)), words_in_gram):
                 cids.append(set_id(s))
-                size = prefix_size(len(s), percent) if len(s) else 0
-                if len(often) and len(s):
-                    last = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    s = np.r_[s[~last], s[last]]
-                found.append(s[:size].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "cid", "prefix"])
-
-    made = docs.where("id is not null").mapInArrow(prefixes, f"rep {kind}, cid bigint, prefix array<bigint>")
-    made = made.join(classes.select("cid", "rep"), ["cid", "rep"]).dropDuplicates(["cid"])
-    prefix = materialised(made.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"), "prefix"))
-    tokens = prefix.select("cid", "rep", "root", F.explode("prefix").alias("gram"))
-    mixed = materialised(tokens.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("gram", "size"))
-    members = materialised(_only(tokens, "gram", mixed, "gram").join(mixed, "gram"))
-    whole = materialised(sets_of(members.select("cid", "rep").distinct()))
+                size = prefix_size(len(s), percent) + shared_least(len(s)) - 1 if len(s) else 0
+                last = _among(s, often)
+                rare.append(s[~last][:size].view(np.int64))
+                hot.append(s[last][: size - len(rare[-1])].view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rare, hot)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cids, pa.int64()), *lists], names=["rep", "cid", "rare", "hot"])
+
+    def mixed_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, cid, _, size, mixed in _sizes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x[mixed].view(np.int64)) for x in (gram, cid)], names=["gram", "cid"])
+
+    made = docs.where("id is not null").mapInArrow(prefixes, f"rep {kind}, cid bigint, rare array<bigint>, hot array<bigint>")
+    rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", "n", F.coalesce("root", "cid").alias("root"))
+    prefix = materialised(made.join(rooted, ["cid", "rep"]).dropDuplicates(["cid", "rep"]))
+    release(spark)
+    beside = F.col("root").bitwiseXOR(F.col("cid")).alias("root")  # nil for most classes, so it packs well
+    spread = prefix.select(F.explode("rare").alias("gram"), "cid", beside).repartition("gram").sortWithinPartitions("gram")
+    hot = prefix.select(F.explode("hot").alias("gram"), "cid", "root")
+    common = hot.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
+    shares = spread.mapInArrow(mixed_groups, "gram bigint, cid bigint").unionByName(hot.join(F.broadcast(common), "gram", "left_semi").select("gram", "cid"))
+    shares = materialised(shares.groupBy("cid").agg(F.count(F.lit(1)).alias("shares")))
+    smallest = F.floor((percent * F.col("n") + 99) / 100)  # of the sets that one of n may link with
+    needed = 1 + F.floor(smallest / PER_SHARED)
+    able = prefix.select("cid", "rep", "root", "n").join(shares, "cid").where(F.col("shares") >= needed).drop("shares")
+    whole = materialised(sets_of(materialised(able)))
+    release(spark)
+
+    # the rarest grams of those classes
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value
+        for b in batches:
+            sets_ = [np.frombuffer(g, np.uint64) for g in b.column(2).to_pylist()]
+            sizes = [len(s) for s in sets_]
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets_])
+            cid, root = (np.repeat(b.column(k).to_numpy(), sizes) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(cid), pa.array(root), pa.array(_among(flat, often))], names=["gram", "cid", "root", "hot"])
+
+    def shared_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, cid, _, size, mixed in _sizes(batches):
+            keep = size > 1
+            yield pa.RecordBatch.from_arrays([pa.array(gram[keep].view(np.int64)), pa.array(cid[keep].view(np.int64)), pa.array(size[keep]), pa.array(mixed[keep])], names=["gram", "cid", "size", "mixed"])
+
+    every = whole.select("cid", beside, "grams").mapInArrow(grams_of, "gram bigint, cid bigint, root bigint, hot boolean")
+    cold = every.where("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(shared_groups, "gram bigint, cid bigint, size bigint, mixed boolean")
+    counted = every.where("hot").groupBy("gram").agg(F.count(F.lit(1)).alias("size"), (F.min(beside) < F.max(beside)).alias("mixed")).where("size > 1")
+    warm = every.where("hot").join(F.broadcast(counted), "gram").select("gram", "cid", "size", "mixed")
+    gathered = cold.unionByName(warm).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("size", "gram", "mixed"))).alias("shared"))
+    size = (F.octet_length("grams") / 8).cast("int")
+    own_grams = F.col("n") - F.size("shared")  # come first in the order
+    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1
+    rarest = F.slice("shared", F.lit(1), F.greatest(F.lit(0), length - own_grams).cast("int"))
+    members = gathered.join(whole.select("cid", "root", size.alias("n")), "cid").select("cid", "root", "n", F.explode(F.filter(rarest, lambda g: g["mixed"])).alias("g"))
+    members = materialised(members.select("cid", "root", "n", "g.gram", "g.size"))
+    release(spark)
     count = F.ceil(F.col("size") / PAIR_BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cid"), count).cast("int")
-    meets = members.select("gram", "cid", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    meets = meets.select("gram", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "cid", "root", "mine")
-    meets = meets.join(whole.select("cid", "bits", (F.octet_length("grams") / 8).cast("long").alias("n")), "cid").select("gram", "p", "q", "cid", "root", "mine", "n", "bits")
+    meets = members.select("gram", "cid", "root", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
+    meets = meets.select("gram", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "cid", "root", "mine", "n")
+    meets = meets.join(whole.select("cid", "bits"), "cid").select("gram", "p", "q", "cid", "root", "mine", "n", "bits")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -416,6 +501,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
 
     rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
+    release(spark)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     named = materialised(rooted.join(least, "root").select("cid", "component"))
     out = own.join(named, "cid", "left")
@@ -426,6 +512,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_gram: int = 5, percent: int = 80) -> DataFrame:
     """df with one row of each component, that of the least id; rows without an id or without words all stay."""
     found = materialised(join(df, id_col, text_col, words_in_gram, percent))
+    release(df.sparkSession)
     grouped = found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
     gone = grouped.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     left = df.join(gone, id_col, "left_anti").select(*df.columns)
