@@ -71,6 +71,19 @@ def test_lm_matches_plain_version(spark, monkeypatch):
         assert got[k]["score"] == pytest.approx(want[k], rel=1e-5)
 
 
+def test_lm_contexts_are_whole_bytes(spark):
+    """Digits, case and letters beyond ASCII tell what follows; so does the fourth byte back."""
+    pairs = [("a7", "x", "y"), ("a8", "y", "x"), ("Qu", "x", "y"), ("qu", "y", "x"), ("кд", "x", "y"), ("кж", "y", "x"), ("K...", "x", "y"), ("L...", "y", "x")]
+    trained = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 != 1][:80]
+    rows = [(k, pairs[i % 8][0] + pairs[i % 8][1]) for i, k in enumerate(trained)]
+    asked = [(before + right, before + wrong) for before, right, wrong in pairs]
+    held = iter([k for k in range(2000, 4000) if zlib.crc32(str(k).encode()) % 5 == 1])
+    both = [(next(held), t) for pair in asked for t in pair]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows + both, "doc_id long, text string")).collect()}
+    for (right, _), (wrong, _) in zip(both[::2], both[1::2], strict=True):
+        assert got[right] > got[wrong] + 0.5
+
+
 def test_code_lengths_are_probabilities():
     rng = np.random.default_rng(2)
     counts = rng.poisson(0.05, (32**3, 256))
