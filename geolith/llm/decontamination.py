@@ -1,11 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Items are cut into word n-grams (SEED_WORDS words; a shorter item is one gram).
-Seeds are an item's grams that few items share, or its rarest where all are
-shared. Documents are streamed past the seeds; around every group of hits on
-neighbouring diagonals the words of document and item are aligned locally, so
-edited copies with insertions, losses and changed words still score. No document
-leaves its task, so passages that many documents hold cost no shuffle.
+"""Benchmark decontamination: seeds that no copy can lack, then Smith-Waterman alignment.
+
+An alignment with m matches and e changed, lost or inserted words scores 2m - e.
+For an item of L words and a share s, 2m - e >= 2sL, so at most 2L(1 - s) words
+are inserted or lost, at least sL item words match, and as edits part the matches
+into at most e + 1 runs, at least (2s - 1)L - 1 pairs of neighbouring item words
+stand side by side in the document. Where that is one pair or more, word pairs
+are seeds; for shorter items, single words. Of n seeds of which q must occur, the
+n - q + 1 rarest are looked up: one of them occurs in every copy. Rarity is only
+the order. Documents are streamed past the seeds; around every group of hits on
+neighbouring diagonals whose words hold enough of the item's, document and item
+are aligned locally. No document leaves its task, so passages that many documents
+hold cost no shuffle.
 
 The benchmark goes to every task in blocks of at most BLOCK_BYTES of text, one
 pass over the documents for each block.
@@ -18,6 +23,7 @@ tables give empty tables.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -29,9 +35,6 @@ from pyspark.sql import DataFrame, functions as F
 from geolith.llm.batches import small_batches, text_buffer, text_of
 from geolith.llm.words import NOT_ALNUM, Words, grams, words
 
-SEED_WORDS = 5
-#: Items that may share a seed.
-RARE_ITEMS = 4
 #: Least share of an item's best possible alignment score.
 SCORE = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -76,47 +79,59 @@ def align(item: np.ndarray, doc: np.ndarray) -> Alignment:
 class Benchmark:
     """Items as word hashes, and their seeds in sorted arrays for each gram length."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
-        self.ids = ids
+    def __init__(self, ids: list, texts: list[str | None], score: float = SCORE):
+        self.ids, self.score = ids, score
         raw, starts, ends = text_buffer(pa.array(texts, pa.string()))
         w = words(raw, starts, ends, NOT_ALNUM)
         cuts = np.searchsorted(w.document, np.arange(len(ids) + 1))
         self.items = [w.hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for k, item in enumerate(self.items):
-            n = min(SEED_WORDS, len(item))
-            if n:
-                own = Words(item, item.view(np.int64), item.view(np.int64), np.zeros(len(item), np.int64))
-                found.setdefault(n, []).extend((h, k, q) for q, h in enumerate(grams(own, n)[0].tolist()))
+        sharing = Counter(h for item in self.items for h in set(item.tolist()))
+        own: list[tuple[int, list[int], int]] = []  # gram length, grams and how many must occur, of each item
+        for item in self.items:
+            pairs = math.ceil((2 * score - 1) * len(item) - 1 - 1e-9)
+            n, least = (2, pairs) if pairs >= 1 else (1, max(1, self.least_words(len(item))))
+            one = Words(item, item.view(np.int64), item.view(np.int64), np.zeros(len(item), np.int64))
+            own.append((n, grams(one, n)[0].tolist() if len(item) else [], least))
+        shared = Counter((n, h) for n, found, _ in own for h in set(found))
+        kept: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (n, found, least) in enumerate(own):
+            rarity = lambda q: (shared[n, found[q]], min(sharing[h] for h in self.items[k][q : q + n].tolist()), q)  # noqa: E731, B023
+            for q in sorted(range(len(found)), key=rarity)[: max(1, len(found) - least + 1)]:
+                kept.setdefault(n, []).append((found[q], k, q))
         self.seeds = {}
-        for n, entries in found.items():
-            shared = Counter(h for h, _ in {(h, k) for h, k, _ in entries})
-            rarest: dict[int, int] = {}
-            for h, k, _ in entries:
-                rarest[k] = min(rarest.get(k, shared[h]), shared[h])
-            kept = sorted(e for e in entries if shared[e[0]] <= max(RARE_ITEMS, rarest[e[1]]))
-            keys, first = np.unique(np.array([e[0] for e in kept], np.uint64), return_index=True)
-            self.seeds[n] = keys, np.r_[first, len(kept)], np.array([e[1] for e in kept]), np.array([e[2] for e in kept])
-
-    def hits(self, w: Words) -> dict[tuple[int, int], list[int]]:
-        """Diagonals (document word minus item word) of seeds, by document and item."""
-        out: dict[tuple[int, int], list[int]] = {}
+        for n, entries in kept.items():
+            entries.sort()
+            keys, first = np.unique(np.array([e[0] for e in entries], np.uint64), return_index=True)
+            self.seeds[n] = keys, np.r_[first, len(entries)], np.array([e[1] for e in entries]), np.array([e[2] for e in entries])
+
+    def least_words(self, length: int) -> int:
+        """Words of an item that match in every alignment of the share."""
+        return math.ceil(self.score * length - 1e-9)
+
+    def hits(self, w: Words) -> dict[tuple[int, int], np.ndarray]:
+        """Diagonals (document word minus item word) of seeds, ascending, by document and item."""
+        found = []
         for n, (keys, first, item, place) in self.seeds.items():
             h, at = grams(w, n)
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for x in np.flatnonzero(keys[k] == h).tolist():
-                p = int(at[x])
-                for y in range(int(first[k[x]]), int(first[k[x] + 1])):
-                    out.setdefault((int(w.document[p]), int(item[y])), []).append(p - int(place[y]))
-        return out
+            x = np.flatnonzero(keys[k] == h)
+            many = first[k[x] + 1] - first[k[x]]
+            y = np.repeat(first[k[x]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            p = np.repeat(at[x], many)
+            found.append(np.stack([w.document[p], item[y], p - place[y]]))
+        if not found:
+            return {}
+        rows = np.unique(np.concatenate(found, axis=1), axis=1)
+        cuts = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
+        return {(int(part[0, 0]), int(part[1, 0])): part[2] for part in np.split(rows, cuts, axis=1) if part.size}
 
     def alignments(self, w: Words, cuts: np.ndarray) -> Iterator[tuple[int, int, Alignment]]:
-        """Document, item and best alignment of every pair that seeds found. cuts: first word of each document, and the end."""
-        for (d, k), diagonals in sorted(self.hits(w).items()):
+        """Document, item and best alignment of every pair that seeds found and that can reach the score. cuts: first word of each document, and the end."""
+        for (d, k), diagonals in self.hits(w).items():
             item = self.items[k]
-            low, high, pad = int(cuts[d]), int(cuts[d + 1]), 8 + len(item) // 2
+            low, high, pad = int(cuts[d]), int(cuts[d + 1]), 1 + math.ceil(2 * (1 - self.score) * len(item))
             ranges: list[list[int]] = []
-            for g in sorted(set(diagonals)):
+            for g in diagonals.tolist():
                 a, b = max(low, g - pad), min(high, g + len(item) + pad)
                 if ranges and a <= ranges[-1][1]:
                     ranges[-1][1] = max(b, ranges[-1][1])
@@ -126,6 +141,8 @@ class Benchmark:
             for a, b in ranges:
                 for start in range(a, b, WINDOW_WORDS):
                     stop = min(b, start + WINDOW_WORDS + 2 * (len(item) + pad))
+                    if np.isin(item, w.hashes[start:stop]).sum() < self.least_words(len(item)):
+                        continue
                     got = align(item, w.hashes[start:stop])
                     if best is None or got.score > best.score:
                         best = got._replace(doc_start=got.doc_start + start, doc_end=got.doc_end + start)
@@ -133,14 +150,14 @@ class Benchmark:
                 yield d, k, best
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Benchmark]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, score: float) -> Iterator[Benchmark]:
     items = text_of(benchmark, item_col, text_col).toDF("item", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = sorted(part.collect(), key=lambda r: (r["item"] is None, r["item"] if r["item"] is not None else 0, r["text"] or ""))
-        yield Benchmark([r["item"] for r in rows], [r["text"] for r in rows])
+        yield Benchmark([r["item"] for r in rows], [r["text"] for r in rows], score)
 
 
 def _found(bench: Benchmark, column: pa.Array, score: float) -> Iterator[tuple]:
@@ -178,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kinds = rows.schema[0].dataType, benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {kinds[0].simpleString()}, `{item_col}` {kinds[1].simpleString()}, score double, matches bigint, start bigint, end bigint, item_start bigint, item_end bigint"
     out = None
-    for block in _blocks(benchmark, item_col, item_text_col):
+    for block in _blocks(benchmark, item_col, item_text_col, score):
         part = rows.mapInArrow(_reporter(docs.sparkSession.sparkContext.broadcast(block), to_arrow_type(kinds[1]), id_col, item_col, score), schema)
         out = part if out is None else out.unionAll(part)
     return out
@@ -199,6 +216,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         return run
 
-    for block in _blocks(benchmark, item_col, item_text_col):
+    for block in _blocks(benchmark, item_col, item_text_col, score):
         docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
     return docs

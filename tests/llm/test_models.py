@@ -174,6 +174,29 @@ def test_copies_are_found_and_clean_texts_left(spark):
     assert {r["doc_id"] for r in decontamination.decontaminated(d, b).collect()} == set(docs) - {k for k, _ in planted}
 
 
+def test_edited_copies_are_found_as_by_brute_force(spark):
+    """Items of every length with up to a fifth of their words changed, lost or inserted, among items that share their words."""
+    rng = random.Random(5)
+    text = lambda n: [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(n)]
+    items = {k: text(1 + k % 30) for k in range(90)}
+    items[200] = [f"u{k}" for k in range(20)]
+    items[201] = [f"v{k}" for k in range(9)]
+    docs = {}
+    for k in range(90):
+        copy = list(items[k])
+        for _ in range(rng.randint(0, -(-len(copy) // 5))):
+            at = rng.randrange(len(copy))
+            copy[at : at + 1] = rng.choice([[] if len(copy) > 1 else copy, ["new"], [copy[at], "more"]])
+        docs[k] = [*text(15), *copy, *text(15)]
+    docs[200] = [*text(9), *("new" if k % 5 == 4 else f"u{k}" for k in range(20)), *text(9)]  # every fifth word
+    docs[201] = [*text(9), *("new" if k == 4 else f"v{k}" for k in range(9)), *text(9)]  # the middle one
+    want = {(d, k): share for d, body in docs.items() for k, item in items.items() if (share := plain_alignment(item, body) / (2 * len(item))) >= decontamination.SCORE}
+    assert (200, 200) in want and (201, 201) in want
+    frame = lambda x, name: spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     d = spark.createDataFrame([(1, "x one two three four five six y"), (2, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one two three four five six"), (2, "a b c d e f")], "item_id long, text string")
