@@ -102,6 +102,18 @@ def test_amalgamate(spark):
     assert spatial.amalgamate(df, "k", 0.0, 2.0).count() == 1
 
 
+def test_amalgamate_query_joins_across_a_gap_of_8(spark):
+    """The gap that FIXTURES.md names for these boxes: the query's polygons are those of gap 8, and fewer than those of gap 1."""
+    from geolith.plans import registry
+    from geolith.plans.fixtures import boxes, square
+
+    sf = "/root/testdata/sf0.01"
+    polygons = boxes(spark, sf).where("side > 0").select("p_partkey", F.array(square(F.col("x0"), F.col("y0"), F.col("side"))).alias("polygon"))
+    areas = lambda gap: sorted(round(r["area"], 4) for r in spatial.amalgamate(polygons, "p_partkey", gap, 4.0, mainland=24.0).collect())
+    got = sorted(r["area"] for r in registry.queries()["amalgamate"](spark, sf).collect())
+    assert got == pytest.approx(areas(8.0)) and got != areas(1.0)
+
+
 def test_interrupts_and_projection():
     assert project.interrupt("+proj=merc").cuts == [(180 - 1e-6, -90.0, 180 + 1e-6, 90.0), (-180 - 1e-6, -90.0, -180 + 1e-6, 90.0)]
     assert project.interrupt("+proj=laea +lat_0=52 +lon_0=10").away[0][:2] == (-170.0, -52.0)
