@@ -273,10 +273,8 @@ def trained(documents: int = 600, steps: int = 300) -> Weights:
 def find(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
     """Pattern spans, and all spans, each by start and then kind."""
     base = base_spans(text)
-    if not base:  # every further span repeats or resembles one that a pattern found
-        return base, base
     g = graph(text, base)
-    if not len(g.skip):
+    if not len(g.skip):  # below, a further span needs a similar token, whether or not a pattern found one
         return base, base
     b = beliefs(g, weights)
     label, sure = b.argmax(axis=1), b.max(axis=1) >= BELIEF

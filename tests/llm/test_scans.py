@@ -128,6 +128,17 @@ def test_similar_tokens_share_a_label():
     assert pii.find(clean, w) == ([], [])
 
 
+def test_the_field_runs_without_any_pattern():
+    """Text without a pattern match is treated as it is beside an unrelated one."""
+    w = pii.trained()
+    text = "write x.90@mail2 or to x.90@mail2 and x.90@mail2 then x.90@mail2"
+    base, every = pii.find(text, w)
+    assert base == [] and every == [("email", m.start(), m.end()) for m in re.finditer("x.90@mail2", text)]
+    for more in (text, "call (487) 555-7209 or 14875557209 and (487) 555-7209"):
+        base, every = pii.find("see 1.2.3.4 " + more, w)
+        assert set(every) - set(base) == {(k, s + 12, e + 12) for k, s, e in pii.find(more, w)[1]}
+
+
 def test_message_passing_is_exact_on_trees():
     import itertools
 
