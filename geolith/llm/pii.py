@@ -35,7 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: A run of nodes becomes a span when each is believed this much.
 BELIEF = 0.8
-ROUNDS = 12
+#: Messages have converged when none changes by more than this.
+STILL = 1e-5
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -161,8 +162,8 @@ class Weights(NamedTuple):
     skip: np.ndarray  # symmetric
 
 
-def beliefs(g: Graph, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product over chain and skip edges, all edges at once; nodes x labels."""
+def beliefs(g: Graph, w: Weights, rounds: int | None = None) -> np.ndarray:
+    """Loopy sum-product over chain and skip edges, all edges at once; nodes x labels. Without rounds, until messages converge, or have had time to pass every node and back."""
     k = len(LABELS)
     unary = g.features @ w.node
     edges = np.concatenate([g.chain, g.skip])
@@ -174,14 +175,17 @@ def beliefs(g: Graph, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
     source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
     back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
     message = np.zeros((len(source), k))
-    for _ in range(rounds):
+    for _ in range(rounds or 100 + 4 * len(unary)):
         total = unary.copy()
         np.add.at(total, target, message)
         sent = (total[source] - message[back])[:, :, None] + table
         top = sent.max(axis=1)
         new = top + np.log(np.exp(sent - top[:, None, :]).sum(axis=1))
         new -= new.max(axis=1, keepdims=True)
+        moved = np.abs(new - message).max()
         message = 0.5 * message + 0.5 * new
+        if rounds is None and moved < STILL:
+            break
     total = unary.copy()
     np.add.at(total, target, message)
     out = np.exp(total - total.max(axis=1, keepdims=True))

@@ -139,6 +139,22 @@ def test_the_field_runs_without_any_pattern():
         assert set(every) - set(base) == {(k, s + 12, e + 12) for k, s, e in pii.find(more, w)[1]}
 
 
+def test_evidence_reaches_every_repeat():
+    import numpy as np
+
+    w = pii.trained()
+    text = "call +1 (487) 555-7209 " + "or 14875557209 " * 40
+    g = pii.graph(text, pii.base_spans(text))
+    assert np.allclose(pii.beliefs(g, w), pii.beliefs(g, w, 3000), atol=1e-4)
+    # on a chain of strong potentials, evidence at one end settles the other
+    n, k = 60, len(pii.LABELS)
+    features = np.zeros((n, pii.N_FEATURES))
+    features[0, 0] = 1
+    strong = pii.Weights(np.vstack([np.eye(k)[1] * 9, np.zeros((pii.N_FEATURES - 1, k))]), np.zeros((k, k)), np.eye(k) * 9)
+    chain = pii.Graph([(0, 1)] * n, features, np.zeros((0, 2), int), np.array([(i, i + 1) for i in range(n - 1)]), np.zeros(n, int))
+    assert pii.beliefs(chain, strong)[-1, 1] > 0.9
+
+
 def test_message_passing_is_exact_on_trees():
     import itertools
 
