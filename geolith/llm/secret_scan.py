@@ -37,6 +37,11 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_ONLY = re.compile(r"(?:[0-9a-f]{2}){20,}|(?:[0-9A-F]{2}){20,}")
 #: Shortest value of a pattern kind.
 _ASSIGN_MIN, _ACCESS_MIN = 6, 20
+#: Shortest dotted token that _TOKEN matches; wrapped lines and candidates are longer.
+_TOKEN_MIN = 14
+#: Lines of one width, and a shorter or equal last one.
+_LINE = re.compile(r"^[\x20\t]*([A-Za-z0-9+/_-]+={0,2})[\x20\t\r]*$", re.M)
+_LINE_MIN = 40
 
 Span = tuple[str, int, int]
 
@@ -150,10 +155,35 @@ def base_spans(text: str, long_words: bool) -> list[Span]:
     return spans
 
 
+def wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive base64 lines: of one width of at least _LINE_MIN, then at most one shorter line, and the same without it."""
+    start = end = width = lines = 0
+    for m in _LINE.finditer(text):
+        size = m.end(1) - m.start(1)
+        if lines and width and text.count("\n", end, m.start(1)) == 1 and size <= width:
+            full, end, lines = end, m.end(1), lines + 1
+            if size == width and not m[1].endswith("="):
+                continue
+            if lines > 2:  # the short line may be a word of its own
+                yield start, full
+            yield start, end
+            lines = 0
+            continue
+        if lines > 1:
+            yield start, end
+        start, end, width = m.start(1), m.end(1), size
+        lines = 1 if size >= _LINE_MIN and not m[1].endswith("=") else 0
+    if lines > 1:
+        yield start, end
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Keys and signed tokens that decode."""
     spans = [("key", *m.span()) for m in _ARMOUR.finditer(text) if confirmed_key(m[2])]
     spans += [("token", *m.span()) for m in _TOKEN.finditer(text) if confirmed_token(m[0])]
+    free = lambda a, b: not any(s < b and a < e for _, s, e in spans)
+    if "\n" in text:
+        spans += [("key", a, b) for a, b in wrapped(text) if free(a, b) and confirmed_key(text[a:b])]
     taken = [(s, e) for _, s, e in spans]
     spans += [("key", *m.span()) for m in _CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken) and confirmed_key(m[0])]
     return spans
@@ -164,7 +194,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     longest = max(map(len, text.split()), default=0)
     base = base_spans(text, longest >= _ACCESS_MIN)
-    more = confirmed_spans(text) if longest >= 40 or "-----BEGIN" in text else []
+    more = confirmed_spans(text) if longest >= _TOKEN_MIN or "-----BEGIN" in text else []
     return sorted(base, key=order), sorted(base + more, key=order)
 
 

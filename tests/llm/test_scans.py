@@ -84,6 +84,25 @@ def base(text):
     return sorted(found, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
 
 
+def test_short_tokens_and_wrapped_keys_need_no_neighbours():
+    import base64
+    import textwrap
+
+    short = b64url(b'{"alg":"none"}') + "." + b64url(b'{"sub":"42"}') + "."
+    assert len(short) < 40 and secret_scan.find(f"a {short} b")[1] == [("token", 2, 2 + len(short))]
+    number = b"\x02\x82\x00\xc8" + b"\x11" * 200
+    body = b"\x02\x01\x00" + number * 8
+    key = b"\x30\x82" + len(body).to_bytes(2, "big") + body
+    for more in (key, key[:-4]):
+        lines = "\n".join(textwrap.wrap(base64.b64encode(more).decode(), 64))
+        found = [s for s in secret_scan.find(f"it is\n{lines}\nand more")[1] if s[0] == "key"]
+        assert found == ([("key", 6, 6 + len(lines))] if more == key else [])
+    whole = base64.b64encode(key).decode()
+    width = next(w for w in range(40, len(whole) // 2) if len(whole) % w == 0)
+    lines = "\n".join(textwrap.wrap(whole, width))
+    assert [s for s in secret_scan.find(f"{lines}\ndone")[1] if s[0] == "key"] == [("key", 0, len(lines))]
+
+
 def test_secret_patterns_match_plain_search(spark):
     rng = random.Random(1)
     pieces = ["token = \"" + "ab12" * 10 + '"', "PassWord: hunter2x", "apikey=short", "AKIA" + "A1" * 10, "secret=token=abcdef", "word", "é", "0f" * 11, "0f" * 12, "api_Key : 'x", "toKen=abcdefg"]
