@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geolith.llm import decontamination, ngram_join, pii, quality, sentencepiece_codec
-from geolith.llm.batches import materialised
 from geolith.llm.queries import model_path
+from geolith.tables import dropped, materialised
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialised(stage(spark, docs, sf_dir))
+        before, docs = docs, materialised(stage(spark, docs, sf_dir))
+        dropped(before)
     return docs

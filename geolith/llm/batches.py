@@ -1,12 +1,7 @@
-"""Shared plumbing: bounded Arrow batches, text buffers, shared-folder tables."""
+"""Shared plumbing: bounded Arrow batches and text buffers."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,35 +39,3 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[bounds[0] : bounds[-1]], bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; set here only where unset (local runs)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='geolith-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/geolith-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    except Exception:  # the session has ended; the folder belongs to it
-        return

@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from geolith.llm.batches import materialised, release, small_batches, text_buffer
+from geolith.llm.batches import small_batches, text_buffer
 from geolith.llm.words import words
+from geolith.tables import dropped, materialised, release
 
 END = 255
 #: Context bytes; with the byte that follows they fit a key of 64 bits.

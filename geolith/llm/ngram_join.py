@@ -8,22 +8,28 @@ connected components of all links, without emitting a group's pairs.
 Candidates meet in two rounds:
 
 1. Classes that share two minimum hashes meet in blocks of bounded size with
-   their whole sets. A signature tree over each block holds, in every node, the
+   their packed texts. A signature tree over each block holds, in every node, the
    OR of its sets' bitmaps and their size range; a dual traversal drops node
    pairs whose largest possible overlap is too small, or that are already
    connected, and verifies the rest exactly. Links leave a block as stars.
 2. The prefix of a set, in any one order of all grams, shares several grams
    (shared_least) with the prefix of every set it can link with. Classes whose
-   prefix shares fewer with other components can link no further and go. Among
-   the classes left all grams are counted, and prefixes taken again with rare
-   grams first: a set with enough grams of its own shares none and goes too.
-   The rest meet, for every gram they share, with their bitmaps; the same
-   traversal, now between components only, gives candidate pairs, which are
-   verified exactly. Large groups are split into blocks that meet in pairs.
+   prefix shares fewer with other components can link no further and go. Of m
+   shared prefix grams of which s must be common with every partner, the
+   m - s + 1 rarest hold one of them; by these the classes left meet with their
+   bitmaps. The same traversal, now between components only, gives candidate
+   pairs, which are verified exactly.
+
+The members of a hot gram are dealt to cells by size, so that only sizes that can
+link meet, and those of the gram's largest component to cells of their own, which
+don't meet each other; cells are cut into blocks that meet in pairs.
 
 No link is lost: round 1 only saves work, round 2 covers every pair. Components
 are found by star contraction in shuffles. What is sent to every task is bounded:
-frequent grams (at most 1 / FREQUENT times the mean set size) and BUCKETS flags.
+frequent grams with their counts (at most 1 / FREQUENT times the mean set size)
+and BUCKETS flags. Joins whose sides grow with the input are sort-merge joins
+whatever their size, so that a plan that fits a small input is the plan of a
+large one; written tables go as soon as their last reader has run.
 
 Defined cases: null or empty text has an empty set and links with nothing; a
 text of fewer words is one gram; rows with a null id are returned with a null
@@ -40,8 +46,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geolith.llm.batches import materialised, release, small_batches, text_buffer
+from geolith.llm.batches import small_batches, text_buffer
 from geolith.llm.words import Words, grams, mix, words
+from geolith.operators.components import components
+from geolith.tables import dropped, materialised, release
 
 #: Grams in more than this share of a task's documents are counted as possibly frequent.
 FREQUENT = 1e-3
@@ -50,11 +58,13 @@ FREQUENT_LEAST = 64
 ROUTES = 3
 _TURNS = mix(np.arange(1, 2 * ROUTES + 1, dtype=np.uint64)) | np.uint64(1)
 BLOCK = 512
-PAIR_BLOCK = 1024
+PAIR_BLOCK = 256
 BUCKETS = 1 << 20
 LARGEST_BITMAP = 1 << 14
 #: A prefix is longer by one gram for so many grams of the set.
-PER_SHARED = 8
+PER_SHARED = 16
+#: Parts over which the rows of a frequent gram are dealt.
+SALTS = 256
 LEAF, FAN_OUT = 16, 8
 
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -116,9 +126,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # -- signature trees ----------------------------------------------------------
 
-def width_of(n: int) -> int:
-    """Bits of a set's bitmap: a power of two, eight a gram or more, up to a limit."""
-    return min(LARGEST_BITMAP, max(64, 1 << (8 * n - 1).bit_length()))
+def width_of(n: int, per_gram: int = 8) -> int:
+    """Bits of a set's bitmap: a power of two, so many a gram or more, up to a limit."""
+    return min(LARGEST_BITMAP, max(64, 1 << (per_gram * n - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -304,28 +314,39 @@ def _among(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     return often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows (gram, cid, root ^ cid) sorted by gram, with root, the size of each row's group and whether it has several roots. Frequent grams are not among them, so groups are small."""
-    held = [np.zeros(0, np.int64)] * 3
-    for b in _and_end(batches):
-        rows = held if b is None else [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns, strict=True)]
-        gram = rows[0]
-        if not len(gram):
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, cut only where its value changes."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
             continue
-        heads = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        end = len(gram) if b is None else int(heads[-1])  # the last group may go on
-        held = [x[end:] for x in rows]
-        heads = heads[heads < end]
-        if len(heads):
-            size = np.diff(np.r_[heads, end])
-            root = rows[2][:end] ^ rows[1][:end]
-            mixed = np.minimum.reduceat(root, heads) < np.maximum.reduceat(root, heads)
-            yield gram[:end], rows[1][:end], root, np.repeat(size, size), np.repeat(mixed, size)
+        rows = [c.to_numpy() for c in b.columns]
+        last = np.flatnonzero(rows[0][1:] != rows[0][:-1])
+        if held and rows[0][0] != held[-1][0][-1]:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        if len(last):
+            cut = int(last[-1]) + 1
+            yield [np.concatenate(x) for x in zip(*held, [r[:cut] for r in rows], strict=True)]
+            held = [[r[cut:] for r in rows]]
+        else:
+            held.append(rows)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+def _packed(column: pa.Array) -> pa.Array:
+    """Texts as bytes: the size, then the text compressed; null is empty."""
+    raw, starts, ends = text_buffer(column)
+    codec = pa.Codec("zstd", compression_level=1)
+    return pa.array([(e - s).astype("<i8").tobytes() + codec.compress(raw[s:e].tobytes(), asbytes=True) for s, e in zip(starts, ends, strict=True)], pa.binary())
+
+
+def _unpacked(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all packed texts, with the start and end of each."""
+    texts = [pa.decompress(v[8:], int.from_bytes(v[:8], "little"), "zstd", asbytes=True) if len(v) > 8 else b"" for v in values]
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    return np.frombuffer(b"".join(texts), np.uint8), np.r_[np.int64(0), ends[:-1]], ends
 
 
 def _bucket(column: str) -> Column:
@@ -338,28 +359,13 @@ def _only(df: DataFrame, column: str, wanted: DataFrame, wanted_column: str) ->
     return df.withColumn("bucket", _bucket(column)).join(F.broadcast(flags), "bucket", "left_semi").drop("bucket")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the least node) of every node in edges (a, b): star contraction until nothing changes."""
-    edges = materialised(edges.where("a <> b").distinct())
-    before = None
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialised(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("b"), F.col("m").alias("a"))
-        edges = materialised(small.where("a <> b").select("a", "b").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return materialised(roots.union(edges.select("a", "a").distinct()))
-
-
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_gram: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links) of every row."""
+    return _joined(df, id_col, text_col, words_in_gram, percent)[0]
+
+
+def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """join(), and the written tables that it reads."""
     spark = df.sparkSession
     small_batches(spark)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -371,41 +377,41 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in
 
     total = classes.count()
     grams_seen = described.where("times is not null").groupBy("gram").agg(F.sum("times").alias("times"))
-    frequent = grams_seen.where(F.col("times") >= max(FREQUENT_LEAST, FREQUENT * total)).select("gram").toArrow()["gram"].to_numpy()
-    frequent = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
+    found = grams_seen.where(F.col("times") >= max(FREQUENT_LEAST, FREQUENT * total)).toArrow()
+    values = found["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    frequent = spark.sparkContext.broadcast((values[order], found["times"].to_numpy()[order]))
 
-    # round 1
-    routes = classes.select("cid", "rep", F.explode(F.array(*[F.xxhash64(F.lit(k), m) for k, m in enumerate(mins)])).alias("route"))
-    shared = materialised(routes.groupBy("route").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    met = materialised(_only(routes, "route", shared, "route").join(shared, "route"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(_groups(*text_buffer(b.column(1)), words_in_gram))
-            bits = [bitmap(s, width_of(len(s))).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(bits, pa.binary())], names=["rep", "cid", "grams", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(s) for s in _groups(*text_buffer(b.column(1)), words_in_gram)], pa.int64()), _packed(b.column(1))], names=["rep", "cid", "text"])
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """wanted (cid, rep, ...) with the whole sets and bitmaps of its classes, made from their least documents."""
-        made = _only(docs.where("id is not null"), "id", wanted, "rep").mapInArrow(sets, f"rep {kind}, cid bigint, grams binary, bits binary")
-        return made.join(wanted, ["cid", "rep"]).drop("rep")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """wanted (cid, rep, ...) with the packed text of each class's least document."""
+        made = _only(docs.where("id is not null"), "id", wanted, "rep").mapInArrow(pack, f"rep {kind}, cid bigint, text binary")
+        return made.join(wanted.hint("merge"), ["cid", "rep"]).dropDuplicates(["cid", "rep"]).drop("rep")
 
+    # round 1: blocks of classes that share minimum hashes
+    routes = classes.select("cid", "rep", F.explode(F.array(*[F.xxhash64(F.lit(k), m) for k, m in enumerate(mins)])).alias("route"))
+    shared = materialised(routes.groupBy("route").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    met = _only(routes, "route", shared, "route").join(shared.hint("merge"), "route")
     block = F.pmod(F.xxhash64("cid", "route"), F.ceil(F.col("size") / BLOCK))
-    blocks = met.groupBy("cid", "rep").agg(F.collect_set(F.struct("route", block.alias("block"))).alias("meets"))
-    blocks = sets_of(materialised(blocks)).select("cid", "grams", F.explode("meets").alias("meet")).select("meet.route", "meet.block", "cid", "grams")
+    wanted = materialised(met.groupBy("cid", "rep").agg(F.collect_set(F.struct("route", block.alias("block"))).alias("meets")))
+    blocks = texts_of(wanted).select("cid", "text", F.explode("meets").alias("meet")).select("meet.route", "meet.block", "cid", "text")
 
     def verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 2):
             if t.num_rows > 1:
-                yield _pairs_out(stars(t["cid"].to_numpy(), [np.frombuffer(g.as_py(), np.uint64) for g in t["grams"]], percent))
+                yield _pairs_out(stars(t["cid"].to_numpy(), list(_groups(*_unpacked(t["text"].to_pylist()), words_in_gram)), percent))
 
     links = materialised(blocks.repartition("route", "block").sortWithinPartitions("route", "block").mapInArrow(verify_blocks, "a bigint, b bigint"))
     roots = components(links)
+    dropped(shared, wanted)
     release(spark)
 
     # round 2: classes that share enough of their prefixes with other components
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
+        often = frequent.value[0]
         for b in batches:
             cids, rare, hot = [], [], []
             for s in _groups(*text_buffer(b.column(1)), words_in_gram):
@@ -417,68 +423,72 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (rare, hot)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cids, pa.int64()), *lists], names=["rep", "cid", "rare", "hot"])
 
-    def mixed_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, cid, _, size, mixed in _sizes(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x[mixed].view(np.int64)) for x in (gram, cid)], names=["gram", "cid"])
+    def shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = frequent.value
+        for gram, cid, beside in _groups_of(batches):
+            heads = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            size = np.diff(np.r_[heads, len(gram)])
+            root = beside ^ cid
+            mixed = np.minimum.reduceat(root, heads) < np.maximum.reduceat(root, heads)
+            place = np.minimum(np.searchsorted(often, gram[heads].view(np.uint64)), max(0, len(often) - 1))
+            hot = often[place] == gram[heads].view(np.uint64) if len(often) else np.zeros(len(heads), bool)
+            size = np.where(hot, times[place], size) if len(often) else size
+            keep = np.repeat(mixed | hot, np.diff(np.r_[heads, len(gram)]))
+            rank = np.repeat(size, np.diff(np.r_[heads, len(gram)]))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(cid[keep]), pa.array(rank[keep])], names=["gram", "cid", "times"])
 
     made = docs.where("id is not null").mapInArrow(prefixes, f"rep {kind}, cid bigint, rare array<bigint>, hot array<bigint>")
-    rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", "n", F.coalesce("root", "cid").alias("root"))
-    prefix = materialised(made.join(rooted, ["cid", "rep"]).dropDuplicates(["cid", "rep"]))
-    release(spark)
-    beside = F.col("root").bitwiseXOR(F.col("cid")).alias("root")  # nil for most classes, so it packs well
-    spread = prefix.select(F.explode("rare").alias("gram"), "cid", beside).repartition("gram").sortWithinPartitions("gram")
-    hot = prefix.select(F.explode("hot").alias("gram"), "cid", "root")
-    common = hot.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
-    shares = spread.mapInArrow(mixed_groups, "gram bigint, cid bigint").unionByName(hot.join(F.broadcast(common), "gram", "left_semi").select("gram", "cid"))
-    shares = materialised(shares.groupBy("cid").agg(F.count(F.lit(1)).alias("shares")))
+    rooted = materialised(classes.join(roots.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("cid", "rep", "n", F.coalesce("root", "cid").alias("root")))
+    prefix = made.join(rooted.select("cid", "rep", "root").hint("merge"), ["cid", "rep"]).dropDuplicates(["cid", "rep"])
+    dealt = F.pmod(F.xxhash64("cid"), F.lit(SALTS)) + 1  # the rows of a frequent gram are dealt to many tasks
+    both = F.concat(F.transform("rare", lambda g: F.struct(g.alias("gram"), F.lit(0).cast("long").alias("salt"))), F.transform("hot", lambda g: F.struct(g.alias("gram"), dealt.alias("salt"))))
+    beside = F.col("root").bitwiseXOR(F.col("cid")).alias("beside")  # nil for most classes, so it packs well
+    spread = prefix.select(F.explode(both).alias("g"), "cid", beside).select("g.gram", "cid", "beside", "g.salt")
+    spread = spread.repartition("gram", "salt").drop("salt").sortWithinPartitions("gram").mapInArrow(shared_grams, "gram bigint, cid bigint, times bigint")
     smallest = F.floor((percent * F.col("n") + 99) / 100)  # of the sets that one of n may link with
-    needed = 1 + F.floor(smallest / PER_SHARED)
-    able = prefix.select("cid", "rep", "root", "n").join(shares, "cid").where(F.col("shares") >= needed).drop("shares")
-    whole = materialised(sets_of(materialised(able)))
+    needed = (1 + F.floor(smallest / PER_SHARED)).cast("int")
+    gathered = spread.groupBy("cid").agg(F.collect_list(F.struct("times", "gram")).alias("shared"))
+    able = gathered.join(rooted.hint("merge"), "cid").where(F.size("shared") >= needed)
+    rarest = F.slice(F.sort_array("shared"), F.lit(1), F.size("shared") - needed + 1)
+    able = materialised(able.select("cid", "rep", "root", "n", F.transform(rarest, lambda g: g["gram"]).alias("grams")))
     release(spark)
 
-    # the rarest grams of those classes
-    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value
+    # grams that still have several components; those of the largest one meet the others only
+    members = able.select(F.explode("grams").alias("gram"), "cid", "root", "n")
+    sides = members.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    members = materialised(members.join(sides.where("roots > 1").drop("roots").hint("merge"), "gram"))
+    large = F.col("size") > PAIR_BLOCK
+    zone = F.when(large, F.floor(F.log("n") / float(np.log(100 / percent * 1.01)))).otherwise(0).cast("int")
+    placed = members.select("gram", "cid", "root", "n", "size", zone.alias("zone"), (large & (F.col("root") == F.col("top"))).alias("top"))
+    cells = placed.where(large).groupBy("gram", "zone", "top").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
+    cells = cells.groupBy("gram").agg(F.collect_list(F.struct("zone", "top", "blocks")).alias("cells"))
+    key = lambda z, t, b: F.struct(z.alias("zone"), t.alias("top"), b.alias("block"))
+    mine = F.get(F.filter("cells", lambda c: (c["zone"] == F.col("zone")) & (c["top"] == F.col("top"))), F.lit(0))
+    here = key(F.col("zone"), F.col("top"), F.pmod(F.xxhash64("cid"), F.coalesce(mine["blocks"], F.lit(1)).cast("long")).cast("int"))
+    partners = F.filter("cells", lambda c: (F.abs(c["zone"] - F.col("zone")) <= 1) & ~(c["top"] & F.col("top")))
+    others = F.flatten(F.transform(partners, lambda c: F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda b: key(c["zone"], c["top"], b))))
+    met = placed.join(cells.hint("merge"), "gram", "left").select("gram", "cid", "root", "n", here.alias("here"), F.coalesce(others, F.array(here)).alias("others"))
+    met = met.select("gram", "cid", "root", "n", "here", F.explode("others").alias("other"))
+    met = met.select("cid", "root", "n", F.xxhash64("gram", F.least("here", "other"), F.greatest("here", "other")).alias("block"), (F.col("here") > F.col("other")).alias("second"), (F.col("here") == F.col("other")).alias("alone"))
+
+    def describe_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets_ = [np.frombuffer(g, np.uint64) for g in b.column(2).to_pylist()]
-            sizes = [len(s) for s in sets_]
-            flat = np.concatenate([np.zeros(0, np.uint64), *sets_])
-            cid, root = (np.repeat(b.column(k).to_numpy(), sizes) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(cid), pa.array(root), pa.array(_among(flat, often))], names=["gram", "cid", "root", "hot"])
-
-    def shared_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, cid, _, size, mixed in _sizes(batches):
-            keep = size > 1
-            yield pa.RecordBatch.from_arrays([pa.array(gram[keep].view(np.int64)), pa.array(cid[keep].view(np.int64)), pa.array(size[keep]), pa.array(mixed[keep])], names=["gram", "cid", "size", "mixed"])
-
-    every = whole.select("cid", beside, "grams").mapInArrow(grams_of, "gram bigint, cid bigint, root bigint, hot boolean")
-    cold = every.where("not hot").drop("hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(shared_groups, "gram bigint, cid bigint, size bigint, mixed boolean")
-    counted = every.where("hot").groupBy("gram").agg(F.count(F.lit(1)).alias("size"), (F.min(beside) < F.max(beside)).alias("mixed")).where("size > 1")
-    warm = every.where("hot").join(F.broadcast(counted), "gram").select("gram", "cid", "size", "mixed")
-    gathered = cold.unionByName(warm).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("size", "gram", "mixed"))).alias("shared"))
-    size = (F.octet_length("grams") / 8).cast("int")
-    own_grams = F.col("n") - F.size("shared")  # come first in the order
-    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1
-    rarest = F.slice("shared", F.lit(1), F.greatest(F.lit(0), length - own_grams).cast("int"))
-    members = gathered.join(whole.select("cid", "root", size.alias("n")), "cid").select("cid", "root", "n", F.explode(F.filter(rarest, lambda g: g["mixed"])).alias("g"))
-    members = materialised(members.select("cid", "root", "n", "g.gram", "g.size"))
-    release(spark)
-    count = F.ceil(F.col("size") / PAIR_BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("cid"), count).cast("int")
-    meets = members.select("gram", "cid", "root", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
-    meets = meets.select("gram", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "cid", "root", "mine", "n")
-    meets = meets.join(whole.select("cid", "bits"), "cid").select("gram", "p", "q", "cid", "root", "mine", "n", "bits")
+            found = list(_groups(*_unpacked(b.column(1).to_pylist()), words_in_gram))
+            bits = [bitmap(s, width_of(len(s), 2)).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(bits, pa.binary())], names=["cid", "grams", "bits"])
+
+    several = materialised(able.select("cid", "rep").join(members.select("cid").distinct().hint("merge"), "cid", "left_semi"))
+    whole = materialised(texts_of(several).select("cid", "text").mapInArrow(describe_sets, "cid bigint, grams binary, bits binary"))
+    met = met.join(whole.select("cid", "bits").hint("merge"), "cid")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for t in _runs(batches, 3):
+        for t in _runs(batches, 1):
             root = t["root"].to_numpy()
             if len(root) < 2 or (root == root[0]).all():
                 continue
             cid, bits = t["cid"].to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in t["bits"]]
-            p, q = t["p"][0].as_py(), t["q"][0].as_py()
-            side = None if p == q else (t["mine"].to_numpy() == q).astype(int)
+            side = None if t["alone"][0].as_py() else t["second"].to_numpy().astype(int)
             for x, y in candidates(t["n"].to_numpy(), bits, percent, side):
                 ok = root[x] != root[y]
                 out += zip(np.minimum(cid[x[ok]], cid[y[ok]]).tolist(), np.maximum(cid[x[ok]], cid[y[ok]]).tolist(), strict=True)
@@ -494,30 +504,43 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in
             if found:
                 yield _pairs_out(found)
 
-    possible = materialised(meets.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q").mapInArrow(pairs, "a bigint, b bigint").distinct())
-    both = possible.join(whole.select(F.col("cid").alias("a"), F.col("grams").alias("x")), "a").join(whole.select(F.col("cid").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
+    met = met.select("block", "cid", "root", "second", "alone", "n", "bits")
+    possible = materialised(met.repartition("block").sortWithinPartitions("block").mapInArrow(pairs, "a bigint, b bigint").distinct())
+    side = lambda k, grams: _only(whole.select(F.col("cid").alias(k), F.col("grams").alias(grams)), k, possible, k)
+    both = possible.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
     more = materialised(both.mapInArrow(verify_pairs, "a bigint, b bigint"))
+    dropped(able, members, several, whole, possible, rooted)
     if not more.isEmpty():
-        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+        first = roots
+        roots = components(first.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+        dropped(first)
 
-    rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
+    rooted = classes.join(roots.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     release(spark)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    named = materialised(rooted.join(least, "root").select("cid", "component"))
-    out = own.join(named, "cid", "left")
+    named = materialised(rooted.join(least.hint("merge"), "root").select("cid", "component"))
+    dropped(links, more, roots, classes)
+    out = own.join(named.hint("merge"), "cid", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id")), [described, named]
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_gram: int = 5, percent: int = 80) -> DataFrame:
     """df with one row of each component, that of the least id; rows without an id or without words all stay."""
-    found = materialised(join(df, id_col, text_col, words_in_gram, percent))
+    made, read = _joined(df, id_col, text_col, words_in_gram, percent)
+    found = made.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).groupBy(id_col).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows_"))
+    found = materialised(found.where((F.col(id_col) != F.col("component_id")) | (F.col("rows_") > 1)))
+    dropped(*read)
     release(df.sparkSession)
-    grouped = found.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0))
-    gone = grouped.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    left = df.join(gone, id_col, "left_anti").select(*df.columns)
-    repeated = materialised(grouped.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col))
+    bucket = next(n for n in ("bucket", *(f"bucket_{k}" for k in range(len(df.columns)))) if n not in df.columns)
+    flags = F.broadcast(found.select(_bucket(id_col).alias(bucket)).distinct())  # at most BUCKETS
+    dealt = df.withColumn(bucket, _bucket(id_col))
+    settled = dealt.join(flags, bucket, "left_anti").select(*df.columns)
+    open_ = dealt.join(flags, bucket, "left_semi").select(*df.columns)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    repeated = found.where((F.col(id_col) == F.col("component_id")) & (F.col("rows_") > 1)).select(id_col)
+    left = open_.join(gone.hint("merge"), id_col, "left_anti").select(*df.columns)
     if repeated.isEmpty():
-        return left
+        return settled.unionByName(left)
     once = left.join(repeated, id_col, "left_semi").dropDuplicates([id_col]).select(*df.columns)
-    return left.join(repeated, id_col, "left_anti").select(*df.columns).unionByName(once)
+    return settled.unionByName(left.join(repeated, id_col, "left_anti").select(*df.columns)).unionByName(once)

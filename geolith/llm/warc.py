@@ -25,7 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geolith.llm.batches import materialised, small_batches
+from geolith.llm.batches import small_batches
+from geolith.tables import materialised
 
 #: Payloads from this size on are stored once and revisited.
 REVISIT_BYTES = 100
