@@ -21,7 +21,7 @@ hit AS (SELECT c.vec_id, c.r, any_value(c.l_quantity) AS q FROM cand c JOIN edge
         WHERE (e.y1 > c.y) <> (e.y2 > c.y) AND c.x < (e.x2 - e.x1) * (c.y - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY c.vec_id, c.r HAVING count(*) % 2 = 1)
 SELECT vec_id, CAST(count(*) AS BIGINT) AS points, round(sum(q), 2) AS quantity FROM hit GROUP BY vec_id""")
 def pip_join(spark: SparkSession, sf: str) -> DataFrame:
-    found = joins.points_in_polygons(points(spark, sf), stars(spark, sf).select("vec_id", "polygon", "box"), 5.0)
+    found = joins.points_in_polygons(points(spark, sf), stars(spark, sf).select("vec_id", "polygon", "box"), 1.0)
     return found.groupBy("vec_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
@@ -78,7 +78,7 @@ def hole_assignment_smallest(spark: SparkSession, sf: str) -> DataFrame:
     side = F.col("side") + 40.0
     ring = square(F.col("x0") - 20.0, F.col("y0") - 20.0, side)
     exteriors = b.select(F.col("p_partkey").alias("ext"), F.array(ring).alias("polygon"), metrics.envelope(ring).alias("box"), (side * side).alias("area"))
-    return joins.smallest_container(holes, exteriors, 40.0, "hole", "ext")
+    return joins.smallest_container(holes, exteriors, 8.0, "hole", "ext")
 
 
 def _corner_grid(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,11 +23,12 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df written once as Parquet and read again. The table goes with ``dropped``, or when the interpreter ends."""
+def materialised(df: DataFrame, compression: str | None = None, group_bytes: int | None = None) -> DataFrame:
+    """df written once as Parquet and read again. The table goes with ``dropped``, or when the interpreter ends. group_bytes: of a row group, which a writer holds in memory."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/geolith-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+    writer.parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._geolith_path = path
