@@ -44,6 +44,20 @@ def test_rows_are_kept(spark, name):
     assert twice[0] == twice[1]
 
 
+@pytest.mark.parametrize("run", ["a", "7", ".", "a.", "7.", "7 ", "1.1..", "AKIA", "0f", "@", "+1", "-", "x7 ", "=", "\n", "eyJhbGciOiJub25lIn0."])
+def test_long_runs_take_time_in_proportion(run):
+    import time
+
+    text = (run * (1 << 20))[: 1 << 20]
+    for find in (secret_scan.find, pii.base_spans):
+        start = time.process_time()
+        find(text)
+        assert time.process_time() - start < 4
+    start = time.process_time()
+    assert sum(1 for _ in pii._NODE.finditer(text)) <= 1 << 20
+    assert time.process_time() - start < 4
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, name):
     assert OPERATORS[name](table(spark, [])).collect() == []

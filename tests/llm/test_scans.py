@@ -26,6 +26,24 @@ NOTICES = [
 ]
 
 
+def edited(text):
+    """A whole text with some words changed, lost and inserted."""
+    w = text.split()
+    for at in range(len(w) - 10, 10, -23):
+        w[at : at + 1] = ([], ["other"], [w[at], "very", "more"])[at % 3]
+    return "see below " + " ".join(w) + " end"
+
+
+def shuffled(text):
+    """The same grams of four words in another order, which is no copy."""
+    w = text.split()
+    parts = [w[k : k + 5] for k in range(0, len(w), 5)]
+    return " ".join(" ".join(p) for p in parts[::-1])
+
+
+NOTICES += [edited(t) for t in licenses.TEXTS] + [shuffled(t) for t in licenses.TEXTS]
+
+
 def test_licenses_match_sql(spark):
     rows = [(k, t) for k, t in enumerate(NOTICES)]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
@@ -39,6 +57,10 @@ def test_licenses_match_sql(spark):
     assert repr(plain(got)) == repr(plain(want))
     by_id = got.set_index("doc_id")
     assert by_id.loc[0, "labels"] == "mit,mit-notice" and by_id.loc[1, "base_labels"] == "apache"
+    whole = {label: k for k, label in enumerate(licenses.TEXTS.values(), len(NOTICES) - 2 * len(licenses.TEXTS))}
+    for label, k in whole.items():
+        assert label in by_id.loc[k, "labels"].split(",") and f"{label}:2:" in by_id.loc[k, "spans"]
+        assert label not in by_id.loc[k + len(licenses.TEXTS), "labels"].split(",")
     assert "gpl-3.0" in by_id.loc[4, "labels"] and by_id.loc[5, "n_base"] == 2 and by_id.loc[6, "labels"] == ""
 
 
