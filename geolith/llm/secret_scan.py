@@ -7,13 +7,15 @@ and ``token`` for signed tokens whose header and claims decode.
 
 Defined cases: null text is empty and yields no spans; repeated rows are kept;
 extra columns are dropped; an empty table gives an empty table. Offsets are code
-points, ends exclusive.
+points, ends exclusive. Every pattern looks at a character a bounded number of
+times, so runs of any length take time in proportion.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -32,13 +34,16 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-_TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+#: A run that may hold dotted tokens; each of its characters is looked at once.
+_DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+#: Least lengths of a token's header and claims.
+_HEADER_MIN, _CLAIMS_MIN = 8, 4
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_ONLY = re.compile(r"(?:[0-9a-f]{2}){20,}|(?:[0-9A-F]{2}){20,}")
 #: Shortest value of a pattern kind.
 _ASSIGN_MIN, _ACCESS_MIN = 6, 20
-#: Shortest dotted token that _TOKEN matches; wrapped lines and candidates are longer.
-_TOKEN_MIN = 14
+#: Shortest dotted token; wrapped lines and candidates are longer.
+_TOKEN_MIN = _HEADER_MIN + _CLAIMS_MIN + 2
 #: Lines of one width, and a shorter or equal last one.
 _LINE = re.compile(r"^[\x20\t]*([A-Za-z0-9+/_-]+={0,2})[\x20\t\r]*$", re.M)
 _LINE_MIN = 40
@@ -177,15 +182,49 @@ def wrapped(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges of signed tokens: three parts between dots that decode; parts of a token begin no other."""
+    for run in _DOTTED.finditer(text):
+        if run.end() - run.start() < _TOKEN_MIN or "." not in run[0]:
+            continue
+        parts, at = run[0].split("."), run.start()
+        starts = [at]
+        for p in parts[:-1]:
+            starts.append(starts[-1] + len(p) + 1)
+        k = 0
+        while k + 2 < len(parts):
+            end = starts[k + 2] + len(parts[k + 2])
+            if len(parts[k]) >= _HEADER_MIN and len(parts[k + 1]) >= _CLAIMS_MIN and confirmed_token(text[starts[k] : end]):
+                yield starts[k], end
+                k += 3
+            else:
+                k += 1
+
+
+class _Taken:
+    """Ranges that don't overlap, for tests of overlap."""
+
+    def __init__(self, spans: list[Span]):
+        self.ranges = sorted((s, e) for _, s, e in spans)
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.ranges, (end, -1))
+        return k == 0 or self.ranges[k - 1][1] <= start
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Keys and signed tokens that decode."""
     spans = [("key", *m.span()) for m in _ARMOUR.finditer(text) if confirmed_key(m[2])]
-    spans += [("token", *m.span()) for m in _TOKEN.finditer(text) if confirmed_token(m[0])]
-    free = lambda a, b: not any(s < b and a < e for _, s, e in spans)
+    taken = _Taken(spans)
+    spans += [("token", a, b) for a, b in tokens(text) if taken.free(a, b)]
     if "\n" in text:
-        spans += [("key", a, b) for a, b in wrapped(text) if free(a, b) and confirmed_key(text[a:b])]
-    taken = [(s, e) for _, s, e in spans]
-    spans += [("key", *m.span()) for m in _CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken) and confirmed_key(m[0])]
+        taken = _Taken(spans)
+        for a, b in wrapped(text):
+            if taken.free(a, b) and confirmed_key(text[a:b]):
+                spans.append(("key", a, b))
+                taken = _Taken(spans)
+    taken = _Taken(spans)
+    spans += [("key", *m.span()) for m in _CANDIDATE.finditer(text) if taken.free(*m.span()) and confirmed_key(m[0])]
     return spans
 
 
