@@ -3,9 +3,10 @@
 Tokens that hold a digit or an at sign are nodes; all other tokens are fixed as
 ordinary text. Neighbouring nodes share transition potentials, and tokens whose
 normalised forms are equal or differ by one digit share skip potentials, so a
-number seen as a card in one place is a card wherever it returns. Loopy message
-passing gives each node's beliefs. Runs of nodes believed to be of one kind, and
-not covered by a pattern, become further spans.
+number seen as a card in one place is a card wherever it returns. Equal forms are
+linked as a balanced tree, so evidence is never more than a few steps away. Loopy
+message passing gives each node's beliefs. Runs of nodes believed to be of one
+kind, and not covered by a pattern, become further spans.
 
 The weights are learned by pseudo-likelihood from documents that a seeded
 generator writes; they need no corpus and are the same in every run.
@@ -35,14 +36,15 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: A run of nodes becomes a span when each is believed this much.
 BELIEF = 0.8
-#: Messages have converged when none changes by more than this.
+#: Messages have converged when none changes by more than this; loops that never settle end after so many rounds.
 STILL = 1e-5
+ROUNDS = 1000
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9.]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NODE = re.compile(r"\S*[0-9@]\S*")
+_NODE = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 _DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[str, int, int]
@@ -58,8 +60,29 @@ def luhn(digits: str) -> bool:
     return (odd + even) % 10 == 0
 
 
+def _addresses(text: str) -> list[Span]:
+    """Four groups of digits between dots, leftmost first, with parts of at most 255."""
+    out = []
+    for run in _DOTTED.finditer(text):
+        if run[0].count(".") < 3:
+            continue
+        parts, at = run[0].split("."), [run.start()]
+        for p in parts:
+            at.append(at[-1] + len(p) + 1)
+        k = 0
+        while k + 3 < len(parts):
+            four = parts[k : k + 4]
+            if not all(four):
+                k += 1 + max(i for i, p in enumerate(four) if not p)
+                continue
+            if all(len(v := p.lstrip("0")) <= 3 and int(v or 0) <= 255 for p in four):
+                out.append(("ip", at[k], at[k + 4] - 1))
+            k += 4
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
-    """Pattern spans, by start and then kind."""
+    """Pattern spans, by start and then kind. Every character is looked at a bounded number of times."""
     spans: list[Span] = []
     at, done = text.find("@"), 0
     while at >= 0:  # a match lies within the run of its characters around an at sign
@@ -74,7 +97,7 @@ def base_spans(text: str) -> list[Span]:
         done = right
         at = text.find("@", right)
     if _DIGIT.search(text):
-        spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        spans += _addresses(text)
         spans += [("card", *m.span()) for m in _CARD.finditer(text) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         spans += [("phone", *m.span()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -130,7 +153,7 @@ def _keys(token: str) -> list[str]:
 
 
 def graph(text: str, base: list[Span]) -> Graph:
-    """Nodes and edges of a text. Similar tokens are linked one to the next, so edges grow with the nodes."""
+    """Nodes and edges of a text. The n-th token of a form is linked to the one of half that number, so edges grow with the nodes and their tree is flat."""
     found = [m.span() for m in _NODE.finditer(text)]
     tokens = [text[s:e] for s, e in found]
     covered = np.zeros(len(found), np.int64)
@@ -145,13 +168,14 @@ def graph(text: str, base: list[Span]) -> Graph:
     touch = [i for i in range(len(found) - 1) if not text[found[i][1] : found[i + 1][0]].strip()]
     near = set(touch)
     rows = [_features(t, int(covered[i]), tokens[i - 1] if i - 1 in near else "", tokens[i + 1] if i in near else "") for i, t in enumerate(tokens)]
-    last: dict[str, int] = {}
+    alike: dict[str, list[int]] = {}
     skip = set()
     for i, t in enumerate(sources):
         for k in _keys(t):
-            if (p := last.get(k)) is not None and p != i:
-                skip.add((p, i))
-            last[k] = i
+            some = alike.setdefault(k, [])
+            if some and some[-1] != i:
+                skip.add((some[(len(some) - 1) // 2], i))
+            some.append(i)
     pairs = lambda x: np.array(sorted(x), np.int64).reshape(-1, 2)
     return Graph(found, np.array(rows, float).reshape(-1, N_FEATURES), pairs((i, i + 1) for i in touch), pairs(skip), covered)
 
@@ -163,7 +187,7 @@ class Weights(NamedTuple):
 
 
 def beliefs(g: Graph, w: Weights, rounds: int | None = None) -> np.ndarray:
-    """Loopy sum-product over chain and skip edges, all edges at once; nodes x labels. Without rounds, until messages converge, or have had time to pass every node and back."""
+    """Loopy sum-product over chain and skip edges, all edges at once; nodes x labels. Without rounds, until messages converge."""
     k = len(LABELS)
     unary = g.features @ w.node
     edges = np.concatenate([g.chain, g.skip])
@@ -175,7 +199,7 @@ def beliefs(g: Graph, w: Weights, rounds: int | None = None) -> np.ndarray:
     source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
     back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
     message = np.zeros((len(source), k))
-    for _ in range(rounds or 100 + 4 * len(unary)):
+    for _ in range(rounds or ROUNDS):
         total = unary.copy()
         np.add.at(total, target, message)
         sent = (total[source] - message[back])[:, :, None] + table
