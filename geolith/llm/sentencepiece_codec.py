@@ -1,10 +1,12 @@
 """SentencePiece encoding with byte spans, and decoding.
 
-The text is normalised by longest prefixes of the model's compiled character
-map; every normalised byte remembers the source byte it came from. Pieces of the
-normalised text are then projected to spans of the source's UTF-8 bytes. Where
-no piece of the model holds a word mark after another character, words are
-encoded on their own and their ids kept in a bounded table.
+Every text is normalised by longest prefixes of the model's compiled character
+map; every normalised byte remembers the source byte it came from, and stretches
+where no prefix can begin are copied as they are. Pieces of the normalised text
+are then projected through this alignment to spans of the source's UTF-8 bytes;
+pieces that don't fill the normalised text are an error. Where no piece of the
+model holds a word mark after another character, words are encoded on their own
+and their ids kept in a bounded table.
 
 Defined cases: null text is empty and has no ids; repeated rows are kept; extra
 columns are dropped; an empty table gives an empty table; a word of any length
@@ -73,12 +75,24 @@ class CharsMap:
         self.units = struct.unpack_from(f"<{size // 4}I", blob, 4) if size else ()
         self.texts = blob[4 + size :]
 
+    def begins(self) -> np.ndarray:
+        """Which bytes begin a mapped prefix."""
+        found = np.zeros(256, bool)
+        if self.units:
+            root = self._offset(self.units[0])
+            for b in range(1, 256):
+                found[b] = root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b
+        return found
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest mapped prefix at a place, and what replaces it."""
         if not self.units:
             return None
-        offset = lambda u: (u >> 10) << ((u & 0x200) >> 6)
-        node, found = offset(self.units[0]), None
+        node, found = self._offset(self.units[0]), None
         for i in range(at, len(data)):
             node ^= data[i]
             if node >= len(self.units):
@@ -86,7 +100,7 @@ class CharsMap:
             unit = self.units[node]
             if unit & 0x800000FF != data[i]:
                 break
-            node ^= offset(unit)
+            node ^= self._offset(unit)
             if unit >> 8 & 1:
                 found = i + 1 - at, self.units[node] & 0x7FFFFFFF
         if found is None:
@@ -102,6 +116,9 @@ class Normaliser:
         self.map = CharsMap(got.get(2, b""))
         self.dummy_prefix, self.squeeze, self.escape = (bool(got.get(k, 1)) for k in (3, 4, 5))
         self.identity = not self.map.units and not self.squeeze and self.dummy_prefix and self.escape
+        self.space = MARK.encode() if self.escape else b" "
+        self.stops = self.map.begins()
+        self.stops[32] |= self.squeeze
 
     def _prefix(self, data: bytes, at: int) -> tuple[int, bytes]:
         if (hit := self.map.longest(data, at)) is not None:
@@ -109,35 +126,39 @@ class Normaliser:
         n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
         return n, data[at : at + n]
 
-    def __call__(self, data: bytes) -> tuple[bytes, list[int]]:
+    def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """align[i] is the source byte at which normalised byte i begins; align[-1] the source's end."""
-        space = MARK.encode() if self.escape else b" "
-        out, align, at = bytearray(), [], 0
+        raw, space, at = np.frombuffer(data, np.uint8), self.space, 0
         if self.squeeze:
             while at < len(data) and (p := self._prefix(data, at))[1] == b" ":
                 at += p[0]
         if at >= len(data):
-            return b"", [at]
-        if self.dummy_prefix:
-            out += space
-            align += [at] * len(space)
+            return b"", np.array([at], np.int64)
+        out, align = [space] if self.dummy_prefix else [], [np.full(len(space) if self.dummy_prefix else 0, at, np.int64)]
         after_space = self.squeeze
-        while at < len(data):
-            n, text = self._prefix(data, at)
+        for stop in [*(np.flatnonzero(self.stops[raw]).tolist() if self.stops.any() else ()), len(data)]:
+            if stop < at:  # within a prefix already taken
+                continue
+            if stop > at:
+                out.append(data[at:stop].replace(b" ", space))
+                align.append(np.repeat(np.arange(at, stop), np.where(raw[at:stop] == 32, len(space), 1)))
+                after_space = False
+            if stop == len(data):
+                break
+            n, text = self._prefix(data, stop)
             if after_space:
                 text = text.lstrip(b" ")
             if text:
-                for b in text:
-                    piece = space if b == 32 else bytes([b])
-                    out += piece
-                    align += [at] * len(piece)
+                out.append(text.replace(b" ", space))
+                align.append(np.full(len(out[-1]), stop))
                 after_space = self.squeeze and text.endswith(b" ")
-            at += n
+            at = stop + n
+        made, places, end = b"".join(out), np.concatenate(align), len(data)
         if self.squeeze:
-            while out.endswith(space):
-                at = align[len(out) - len(space)]
-                del out[-len(space) :], align[-len(space) :]
-        return bytes(out), [*align, at]
+            while made.endswith(space):
+                end = int(places[len(made) - len(space)])
+                made, places = made[: -len(space)], places[: -len(space)]
+        return made, np.r_[places, end]
 
 
 class Encoded(NamedTuple):
@@ -170,7 +191,6 @@ class Codec:
         self.unknown = next((i for i, k in enumerate(kinds) if k == 2), -1)
         self.byte = np.array([k == _BYTE for k in kinds])
         self.size = np.array([1 if k == _BYTE else len(p.encode()) for p, k in zip(pieces, kinds, strict=True)], np.int64)
-        self.source_size = np.array([1 if k == _BYTE else len(p.replace(MARK, " ").encode()) for p, k in zip(pieces, kinds, strict=True)], np.int64)
         normal = [p for p, k in zip(pieces, kinds, strict=True) if k == _NORMAL]
         trainer = next((v for n, _, v, _ in fields if n == 2), b"")
         bpe = next((v for n, _, v, _ in _fields(trainer) if n == 3), 1) == 2
@@ -214,21 +234,18 @@ class Codec:
         if not text:
             none = np.zeros(0, np.int64)
             return Encoded(np.zeros(0, np.int32), none, none), ""
+        data, at = self.normaliser(text.encode())
         if self.by_word and MARK not in text:
             got = self._by_word(text)
-            ids = np.frombuffer(b"".join([g[1] for g in got]), np.int32)
-            ends = np.cumsum(self.source_size[ids]) - 1  # the prefix mark has no source
-            starts = np.empty_like(ends)
-            starts[0], starts[1:] = 0, ends[:-1]
-            return Encoded(ids, starts, ends), ",".join([g[0] for g in got])
-        data, align = self.normaliser(text.encode())
-        ids = np.array(self.plain.encode(data.decode()), np.int32) if data else np.zeros(0, np.int32)
-        sizes = self.size[ids]
-        if self.unknown in ids:
-            sizes = self._sizes_with_unknown(ids, data.decode())
+            ids, said = np.frombuffer(b"".join([g[1] for g in got]), np.int32), ",".join([g[0] for g in got])
+        else:
+            ids = np.array(self.plain.encode(data.decode()), np.int32) if data else np.zeros(0, np.int32)
+            said = ",".join(map(str, ids.tolist()))
+        sizes = self._sizes_with_unknown(ids, data.decode()) if self.unknown in ids else self.size[ids]
         ends = np.cumsum(sizes)
-        at = np.array(align, np.int64)
-        return Encoded(ids, at[ends - sizes], at[ends]), ",".join(map(str, ids.tolist()))
+        if len(data) != (ends[-1] if len(ends) else 0):
+            raise ValueError("pieces do not fill the normalised text")
+        return Encoded(ids, at[ends - sizes], at[ends]), said
 
     def _sizes_with_unknown(self, ids: np.ndarray, text: str) -> np.ndarray:
         return np.array([len(p.piece.encode()) for p in self.plain.encode(text, out_type="immutable_proto").pieces], np.int64)

@@ -41,7 +41,24 @@ def test_normaliser_equals_the_library():
         for text in [*TEXTS, "ＡＢＣ　ｄｅｆ ①② ㌔ ﬁ", "ガギ  x ", "é A"]:
             got, align = ours(text.encode())
             assert got.decode().replace("▁", " ") == library.normalize(text).replace("▁", " ")
-            assert len(align) == len(got) + 1 and align == sorted(align)
+            assert len(align) == len(got) + 1 and align.tolist() == sorted(align.tolist())
+
+
+def test_alignment_is_the_same_in_bulk():
+    """Stretches copied at once get the places that one byte at a time would get."""
+    plain = sentencepiece_codec.Normaliser(b"\x18\1\x20\0\x28\1")
+    for text in [*TEXTS, "a  b", " é 漢 "]:
+        data = (text or "").encode()
+        got, align = plain(data)
+        if not data:
+            assert got == b"" and align.tolist() == [0]
+            continue
+        want, places = bytearray("▁".encode()), [0, 0, 0]
+        for k, b in enumerate(data):
+            piece = "▁".encode() if b == 32 else bytes([b])
+            want += piece
+            places += [k] * len(piece)
+        assert got == bytes(want) and align.tolist() == [*places, len(data)]
 
 
 @pytest.mark.parametrize("size", [0, 1, 575, 576, 577, 4600, 4608, 4609, 100_000])
@@ -119,5 +136,21 @@ def test_chains_orphans_and_breaks(spark):
     assert [len(got["r"][k]) for k in ("requests", "metadata")] == [1, 1] and got["gone"]["response"] is None
 
 
+def test_long_chains_circles_and_records_without_ids(spark):
+    bare = lambda kind, block=b"", **more: record(kind, "", block, **more).replace(b"WARC-Record-ID: \r\n", b"")
+    to = lambda x: {"WARC-Concurrent-To": x}
+    parts = [record("response", "r", b"HTTP/1.1 200\r\n\r\nbody"), *[record("metadata", f"m{k}", **to(f"m{k - 1}" if k else "r")) for k in range(7)]]
+    parts += [record("metadata", "x", **to("y")), record("metadata", "y", **to("z")), record("request", "z", **to("x"))]
+    parts += [bare("response", b"HTTP/1.1 200\r\n\r\none"), bare("response", b"HTTP/1.1 200\r\n\r\ntwo"), bare("request"), bare("metadata", **to("r"))]
+    archives = spark.createDataFrame([("a", bytearray(b"".join(parts)))], "archive string, content binary")
+    got = warc.assemble(warc.read_records(archives)).collect()
+    named = {r["capture_id"]: r for r in got if r["capture_id"] is not None}
+    assert set(named) == {"r", "x"} and len(named["r"]["metadata"]) == 8
+    assert named["x"]["response"] is None and len(named["x"]["requests"]) == 1 and len(named["x"]["metadata"]) == 2
+    loose = [r for r in got if r["capture_id"] is None]
+    assert sorted(bytes(r["response"]["block"])[-3:] if r["response"] else b"" for r in loose) == [b"", b"one", b"two"]
+    assert all(len(r["requests"]) + len(r["metadata"]) == (r["response"] is None) for r in loose)
+
+
 def test_no_pages(spark):
     assert warc.archived_captures(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
