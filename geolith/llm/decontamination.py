@@ -7,18 +7,24 @@ into at most e + 1 runs, at least (2s - 1)L - 1 pairs of neighbouring item words
 stand side by side in the document. Where that is one pair or more, word pairs
 are seeds; for shorter items, single words. Of n seeds of which q must occur, the
 n - q + 1 rarest are looked up: one of them occurs in every copy. Rarity is only
-the order. Documents are streamed past the seeds; around every group of hits on
-neighbouring diagonals whose words hold enough of the item's, document and item
-are aligned locally. No document leaves its task, so passages that many documents
-hold cost no shuffle.
+the order; it is counted over the whole benchmark, however that is cut.
 
-The benchmark goes to every task in blocks of at most BLOCK_BYTES of text, one
-pass over the documents for each block.
+Documents are streamed past the seeds, a map-side join on the gram; around every
+group of hits on neighbouring diagonals whose words hold enough of the item's,
+document and item are aligned locally, in memory that grows with their lengths
+alone. Of the best alignments that of most matches counts, then the one that ends
+first, then the shortest. No document leaves its task, so passages that many
+documents hold cost no shuffle.
+
+The benchmark is a stated query set: it goes to every task in blocks of at most
+BLOCK_BYTES of text, one pass over the documents for each block.
 
 Defined cases: null text is empty and matches nothing; items without words match
-nothing; a null item_id is kept as null; repeated rows are reported as often as
-they stand; extra columns are dropped (``decontaminated`` keeps them); empty
-tables give empty tables.
+nothing; an item of fewer than SHORT_WORDS words is found only in documents of at
+most twice as many words, since longer ones hold such words by chance; a null
+item_id is kept as null; repeated rows are reported as often as they stand; extra
+columns are dropped (``decontaminated`` keeps them); empty tables give empty
+tables.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from geolith.llm.batches import small_batches, text_buffer, text_of
 from geolith.llm.words import NOT_ALNUM, Words, grams, words
+from geolith.tables import dropped, materialised
 
 #: Least share of an item's best possible alignment score.
 SCORE = 0.6
@@ -41,6 +48,10 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 32 << 20
 #: Words of a document aligned at once.
 WINDOW_WORDS = 20_000
+#: Items of fewer words are evidence only where they are half of a document or more.
+SHORT_WORDS = 5
+#: One point of an alignment's score; below it, matches are counted.
+_POINT = 1 << 32
 
 
 class Alignment(NamedTuple):
@@ -52,47 +63,70 @@ class Alignment(NamedTuple):
     item_end: int
 
 
+def _row(before: np.ndarray, doc: np.ndarray, word: np.uint64, slope: np.ndarray, first: int, least: int | None) -> np.ndarray:
+    """The next row of a table of alignments: first column, and no value below the least."""
+    row = np.empty_like(before)
+    row[0] = first
+    row[1:] = np.maximum(before[:-1] + np.where(doc == word, MATCH * _POINT + 1, MISMATCH * _POINT), before[1:] + GAP * _POINT)
+    if least is not None:
+        np.maximum(row, least, out=row)
+    return np.maximum.accumulate(row - slope) + slope
+
+
 def align(item: np.ndarray, doc: np.ndarray) -> Alignment:
-    """Best local alignment of two word sequences (Smith-Waterman, linear gaps); the earliest end of the best ones."""
-    n, m = len(item), len(doc)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    slope = np.arange(m + 1, dtype=np.int32) * GAP
-    for i in range(1, n + 1):
-        row = np.maximum(h[i - 1, :-1] + np.where(doc == item[i - 1], MATCH, MISMATCH), h[i - 1, 1:] + GAP)
-        np.maximum(row, 0, out=row)
-        h[i, 1:] = row
-        h[i] = np.maximum.accumulate(h[i] - slope) + slope
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    best, end_i, end_j, matches = int(h[i, j]), int(i), int(j), 0
-    while h[i, j] > 0:
-        same = doc[j - 1] == item[i - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matches += int(same)
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return Alignment(best, matches, int(j), end_j, int(i), end_i)
+    """Best local alignment of two word sequences (Smith-Waterman, linear gaps), of these that of most matches, earliest end (by item, then document) and least length. Two rows are held at a time."""
+    slope = np.arange(len(doc) + 1, dtype=np.int64) * GAP * _POINT
+    row, best, end_i, end_j = np.zeros(len(doc) + 1, np.int64), 0, 0, 0
+    for i, word in enumerate(item, 1):
+        row = _row(row, doc, word, slope, 0, 0)
+        if (most := int(row.max())) > best:
+            best, end_i, end_j = most, i, int(row.argmax())
+    if not best:
+        return Alignment(0, 0, 0, 0, 0, 0)
+    back = doc[max(0, end_j - 3 * end_i) : end_j][::-1]  # an alignment that scores holds no more inserted words than twice the item's
+    row = slope = np.arange(len(back) + 1, dtype=np.int64) * GAP * _POINT
+    for i, word in enumerate(item[:end_i][::-1], 1):
+        row = _row(row, back, word, slope, i * GAP * _POINT, None)
+        if row.max() == best:
+            return Alignment(best // _POINT, best % _POINT, end_j - int(row.argmax()), end_j, end_i - i, end_i)
+    raise AssertionError("an alignment has no start")
+
+
+def least_words(length: int, score: float) -> int:
+    """Words of an item that match in every alignment of the share."""
+    return math.ceil(score * length - 1e-9)
+
+
+def item_grams(texts: list[str | None], score: float) -> tuple[list[np.ndarray], list[tuple[int, list[int], int]]]:
+    """Word hashes of each item; and the length of its seeds, all its grams of that length, and how many of them occur in every copy."""
+    raw, starts, ends = text_buffer(pa.array(texts, pa.string()))
+    w = words(raw, starts, ends, NOT_ALNUM)
+    cuts = np.searchsorted(w.document, np.arange(len(texts) + 1))
+    items = [w.hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    own = []
+    for item in items:
+        pairs = math.ceil((2 * score - 1) * len(item) - 1 - 1e-9)
+        n, least = (2, pairs) if pairs >= 1 else (1, max(1, least_words(len(item), score)))
+        one = Words(item, item.view(np.int64), item.view(np.int64), np.zeros(len(item), np.int64))
+        own.append((n, grams(one, n)[0].tolist() if len(item) else [], least))
+    return items, own
+
+
+def _distinct(item: np.ndarray, n: int, found: list[int]) -> set[tuple[int, int]]:
+    """An item's words (length 0) and grams."""
+    return {(0, h) for h in item.tolist()} | {(n, h) for h in found}
 
 
 class Benchmark:
-    """Items as word hashes, and their seeds in sorted arrays for each gram length."""
+    """Items as word hashes, and their seeds in sorted arrays for each gram length. counts: in how many items of the whole benchmark a gram (length, hash; length 0: a word) stands, where these items are only a block of it."""
 
-    def __init__(self, ids: list, texts: list[str | None], score: float = SCORE):
+    def __init__(self, ids: list, texts: list[str | None], score: float = SCORE, counts: dict[tuple[int, int], int] | None = None):
         self.ids, self.score = ids, score
-        raw, starts, ends = text_buffer(pa.array(texts, pa.string()))
-        w = words(raw, starts, ends, NOT_ALNUM)
-        cuts = np.searchsorted(w.document, np.arange(len(ids) + 1))
-        self.items = [w.hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        sharing = Counter(h for item in self.items for h in set(item.tolist()))
-        own: list[tuple[int, list[int], int]] = []  # gram length, grams and how many must occur, of each item
-        for item in self.items:
-            pairs = math.ceil((2 * score - 1) * len(item) - 1 - 1e-9)
-            n, least = (2, pairs) if pairs >= 1 else (1, max(1, self.least_words(len(item))))
-            one = Words(item, item.view(np.int64), item.view(np.int64), np.zeros(len(item), np.int64))
-            own.append((n, grams(one, n)[0].tolist() if len(item) else [], least))
-        shared = Counter((n, h) for n, found, _ in own for h in set(found))
+        self.items, own = item_grams(texts, score)
+        if counts is None:
+            counts = Counter(g for item, (n, found, _) in zip(self.items, own, strict=True) for g in _distinct(item, n, found))
+        shared = {(n, h): counts[n, h] for n, found, _ in own for h in found}
+        sharing = {h: counts[0, h] for item in self.items for h in item.tolist()}
         kept: dict[int, list[tuple[int, int, int]]] = {}
         for k, (n, found, least) in enumerate(own):
             rarity = lambda q: (shared[n, found[q]], min(sharing[h] for h in self.items[k][q : q + n].tolist()), q)  # noqa: E731, B023
@@ -105,8 +139,7 @@ class Benchmark:
             self.seeds[n] = keys, np.r_[first, len(entries)], np.array([e[1] for e in entries]), np.array([e[2] for e in entries])
 
     def least_words(self, length: int) -> int:
-        """Words of an item that match in every alignment of the share."""
-        return math.ceil(self.score * length - 1e-9)
+        return least_words(length, self.score)
 
     def hits(self, w: Words) -> dict[tuple[int, int], np.ndarray]:
         """Diagonals (document word minus item word) of seeds, ascending, by document and item."""
@@ -150,14 +183,33 @@ class Benchmark:
                 yield d, k, best
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, score: float) -> Iterator[Benchmark]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, score: float, block_bytes: int) -> Iterator[tuple[Benchmark, bool]]:
+    """The benchmark in blocks, and whether there are several. Of several, grams are counted in shuffles over all; a block gets the counts of its own."""
     items = text_of(benchmark, item_col, text_col).toDF("item", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + size // BLOCK_BYTES
+    blocks = 1 + size // block_bytes
+    items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    found = None
+    if blocks > 1:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words_of, own = item_grams(b.column(1).to_pylist(), score)
+                rows = [(k, n, np.uint64(h).astype(np.int64)) for k, item, (length, some, _) in zip(b.column(0).to_pylist(), words_of, own, strict=True) for n, h in _distinct(item, length, some)]
+                block, n, gram = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(n, pa.int32()), pa.array(gram, pa.int64())], names=["block", "n", "gram"])
+
+        found = materialised(items.select("block", "text").mapInArrow(run, "block bigint, n int, gram bigint").groupBy("block", "n", "gram").agg(F.count(F.lit(1)).alias("items")))
+        every = materialised(found.groupBy("n", "gram").agg(F.sum("items").alias("items")))
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = sorted(part.collect(), key=lambda r: (r["item"] is None, r["item"] if r["item"] is not None else 0, r["text"] or ""))
-        yield Benchmark([r["item"] for r in rows], [r["text"] for r in rows], score)
+        rows = sorted(items.where(F.col("block") == b).collect(), key=lambda r: (r["item"] is None, r["item"] if r["item"] is not None else 0, r["text"] or ""))
+        counts = None
+        if found is not None:
+            mine = found.where(F.col("block") == b).select("n", "gram").join(every, ["n", "gram"]).toArrow()
+            counts = dict(zip(zip(mine["n"].to_pylist(), mine["gram"].to_numpy().view(np.uint64).tolist(), strict=True), mine["items"].to_pylist(), strict=True))
+        yield Benchmark([r["item"] for r in rows], [r["text"] for r in rows], score, counts), blocks > 1
+    if found is not None:
+        dropped(found, every)
 
 
 def _found(bench: Benchmark, column: pa.Array, score: float) -> Iterator[tuple]:
@@ -166,6 +218,8 @@ def _found(bench: Benchmark, column: pa.Array, score: float) -> Iterator[tuple]:
     w = words(raw, starts, ends, NOT_ALNUM)
     cuts = np.searchsorted(w.document, np.arange(len(starts) + 1))
     for d, k, a in bench.alignments(w, cuts):
+        if len(bench.items[k]) < SHORT_WORDS and cuts[d + 1] - cuts[d] > 2 * len(bench.items[k]):
+            continue
         share = a.score / (MATCH * len(bench.items[k]))
         if share >= score:
             chars = lambda x: len(raw[starts[d] : x].tobytes().decode("utf-8", "replace"))  # noqa: E731, B023
@@ -186,7 +240,7 @@ def _reporter(bench, item_type: pa.DataType, id_col: str, item_col: str, score:
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", score: float = SCORE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", score: float = SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item it holds: score, matched words, start and end (code points) in the document, and words of the item."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -195,13 +249,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kinds = rows.schema[0].dataType, benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {kinds[0].simpleString()}, `{item_col}` {kinds[1].simpleString()}, score double, matches bigint, start bigint, end bigint, item_start bigint, item_end bigint"
     out = None
-    for block in _blocks(benchmark, item_col, item_text_col, score):
-        part = rows.mapInArrow(_reporter(docs.sparkSession.sparkContext.broadcast(block), to_arrow_type(kinds[1]), id_col, item_col, score), schema)
+    for block, several in _blocks(benchmark, item_col, item_text_col, score, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        part = rows.mapInArrow(_reporter(sent, to_arrow_type(kinds[1]), id_col, item_col, score), schema)
+        if several:  # one block at a time is held by the executors
+            part = materialised(part)
+            sent.destroy()
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", score: float = SCORE) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", score: float = SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows that hold an item; all columns stay."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
@@ -216,6 +274,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 
         return run
 
-    for block in _blocks(benchmark, item_col, item_text_col, score):
-        docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    given = docs
+    for block, several in _blocks(benchmark, item_col, item_text_col, score, block_bytes):
+        sent, before = docs.sparkSession.sparkContext.broadcast(block), docs
+        docs = docs.mapInArrow(cleaner(sent), docs.schema)
+        if several:
+            docs = materialised(docs)
+            sent.destroy()
+            if before is not given:
+                dropped(before)
     return docs

@@ -114,6 +114,22 @@ def test_quality_gradients():
     assert ((p > 0.5) == (y > 0)).mean() > 0.9 and np.allclose(np.bincount(owner, a), 1)
 
 
+def test_quality_scores_match_plain_version():
+    rng = np.random.default_rng(4)
+    x, owner = rng.normal(size=(40, quality.N_FEATURES)), np.sort(rng.integers(0, 9, 40))
+    m = quality.fit(x, owner, (np.arange(9) % 2).astype(float), epochs=3)
+    got, weight = quality.scores(m, x, owner, 9)
+    for d in range(9):
+        rows = [(v - m.mean) / m.scale for v, o in zip(x, owner) if o == d]
+        if not rows:
+            continue
+        h = [np.tanh(r @ m.encode[:-1] + m.encode[-1]) for r in rows]
+        e = [math.exp(float(np.tanh(v @ m.attend) * (1 / (1 + np.exp(-(v @ m.gate)))) @ m.focus)) for v in h]
+        bag = sum(w / sum(e) * v for w, v in zip(e, h))
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-float(bag @ m.decide[:-1] + m.decide[-1]))))
+        assert weight[owner == d] == pytest.approx(np.array(e) / sum(e))
+
+
 def test_passage_features_do_not_depend_on_neighbours():
     import pyarrow as pa
 
@@ -127,20 +143,40 @@ def test_passage_features_do_not_depend_on_neighbours():
 # -- decontamination ----------------------------------------------------------
 
 def plain_alignment(item, doc):
-    h = [[0] * (len(doc) + 1) for _ in range(len(item) + 1)]
+    return plain_alignments(item, doc)[0]
+
+
+def plain_alignments(item, doc):
+    """Best score, and the most matches with it."""
+    h = [[(0, 0)] * (len(doc) + 1) for _ in range(len(item) + 1)]
     for i, a in enumerate(item, 1):
         for j, b in enumerate(doc, 1):
-            h[i][j] = max(0, h[i - 1][j - 1] + (2 if a == b else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+            add = lambda x, score, match=0: (x[0] + score, x[1] + match)
+            h[i][j] = max((0, 0), add(h[i - 1][j - 1], 2, 1) if a == b else add(h[i - 1][j - 1], -1), add(h[i - 1][j], -1), add(h[i][j - 1], -1))
     return max(map(max, h))
 
 
 def test_alignment_matches_plain_version():
     rng = random.Random(3)
-    for _ in range(100):
-        item, doc = ([rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(2))
+    for k in range(200):
+        item, doc = ([rng.randrange(4) for _ in range(rng.randint(1, 12 + k % 20))] for _ in range(2))
         got = decontamination.align(np.array(item, np.uint64), np.array(doc, np.uint64))
-        assert got.score == plain_alignment(item, doc)
-        assert got.matches <= min(got.doc_end - got.doc_start, got.item_end - got.item_start) or got.score == 0
+        assert (got.score, got.matches) == plain_alignments(item, doc)
+        part = plain_alignments(item[got.item_start : got.item_end], doc[got.doc_start : got.doc_end]) if got.score else (0, 0)
+        assert part == (got.score, got.matches)
+
+
+def test_long_items_are_aligned_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    item = rng.integers(0, 1000, 5000).astype(np.uint64)
+    doc = np.r_[rng.integers(0, 1000, 4000), np.delete(item, slice(0, 5000, 50)), rng.integers(0, 1000, 4000)].astype(np.uint64)
+    tracemalloc.start()
+    got = decontamination.align(item, doc)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert got.matches >= 4900 and got.doc_start >= 3990 and got.doc_end <= 8920
 
 
 def test_copies_are_found_and_clean_texts_left(spark):
@@ -163,7 +199,8 @@ def test_copies_are_found_and_clean_texts_left(spark):
             planted.add((k, item))
         docs[k] = body
     docs[500] = [*text(50), "Only", "three,", "WORDS!", *text(50)]
-    planted.add((500, 90))
+    docs[501] = ["Only", "three,", "WORDS!", "here"]
+    planted.add((501, 90))
     d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
     b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
     rows = decontamination.contaminated(d, b).collect()
@@ -190,18 +227,36 @@ def test_edited_copies_are_found_as_by_brute_force(spark):
         docs[k] = [*text(15), *copy, *text(15)]
     docs[200] = [*text(9), *("new" if k % 5 == 4 else f"u{k}" for k in range(20)), *text(9)]  # every fifth word
     docs[201] = [*text(9), *("new" if k == 4 else f"v{k}" for k in range(9)), *text(9)]  # the middle one
-    want = {(d, k): share for d, body in docs.items() for k, item in items.items() if (share := plain_alignment(item, body) / (2 * len(item))) >= decontamination.SCORE}
+    want = {(d, k): share for d, body in docs.items() for k, item in items.items() if len(item) >= decontamination.SHORT_WORDS and (share := plain_alignment(item, body) / (2 * len(item))) >= decontamination.SCORE}
     assert (200, 200) in want and (201, 201) in want
     frame = lambda x, name: spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], f"{name} long, text string")
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
     assert got == pytest.approx(want)
 
 
-def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
-    d = spark.createDataFrame([(1, "x one two three four five six y"), (2, "a b c d e f")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "one two three four five six"), (2, "a b c d e f")], "item_id long, text string")
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 8)
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()} == {(1, 1), (2, 2)}
+def test_blocks_of_the_benchmark_give_the_same(spark):
+    """Seeds are as rare as they are in the whole benchmark, though its items share grams and are cut into blocks."""
+    rng = random.Random(8)
+    phrase = [f"p{k}" for k in range(6)]
+    items = {k: [f"w{rng.randrange(40)}" for _ in range(rng.randint(3, 14))] + phrase * (k % 2) for k in range(30)}
+    docs = {k: [*(f"w{rng.randrange(40)}" for _ in range(8)), *items[k % 30][: 4 + k % 9], *items[(k * 7) % 30]] for k in range(60)}
+    frame = lambda x, name: spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], f"{name} long, text string")
+    d, b = frame(docs, "doc_id"), frame(items, "item_id")
+    plain = lambda f: sorted(map(str, f.collect()))
+    whole = plain(decontamination.contaminated(d, b))
+    assert whole and plain(decontamination.contaminated(d, b, block_bytes=400)) == whole
+    assert plain(decontamination.decontaminated(d, b, block_bytes=400)) == plain(decontamination.decontaminated(d, b))
+    every = decontamination.Benchmark(list(items), [" ".join(v) for v in items.values()])
+    counts = collections.Counter(g for item, (n, found, _) in zip(*decontamination.item_grams([" ".join(v) for v in items.values()], 0.6)) for g in decontamination._distinct(item, n, found))
+    seeds = lambda bench: {(n, int(h), bench.ids[i], int(q)) for n, (keys, first, item, place) in bench.seeds.items() for h, a, z in zip(keys, first[:-1], first[1:]) for i, q in zip(item[a:z], place[a:z])}
+    parts = [decontamination.Benchmark([k], [" ".join(items[k])], counts=counts) for k in items]
+    assert set().union(*map(seeds, parts)) == seeds(every)
+
+
+def test_short_items_count_in_short_documents(spark):
+    d = spark.createDataFrame([(1, "yes"), (2, "Yes, but"), (3, "yes " + "and more " * 20), (4, "only three words"), (5, "there are only three words in this text")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "yes"), (2, "only three words")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()} == {(1, 1), (2, 1), (4, 2)}
 
 
 # -- n-gram join --------------------------------------------------------------
