@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geolith.llm.batches import small_batches
-from geolith.tables import materialised
+from geolith.operators.components import components
+from geolith.tables import dropped, materialised
 
 #: Payloads from this size on are stored once and revisited.
 REVISIT_BYTES = 100
+# Record types that a capture is named after.
+MAINS = ("response", "revisit", "resource")
 #: An archive is closed when it holds this many bytes.
 ARCHIVE_BYTES = 4 << 20
 
@@ -134,25 +137,39 @@ def read_records(archives: DataFrame, keep_block: bool = True) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: its response (or revisit), requests and metadata as nested structs.
 
-    A request or metadata record may name the response or another record of the
-    same capture that names it; both are followed. Hot identifiers are split by
-    Spark's adaptive join; each capture gathers only its own records.
+    A request or metadata record may name the response or any record that leads
+    to it, through as many concurrent-to identifiers as there are; records that
+    name each other in a circle are one capture without a response. Records
+    without an id that name nothing are captures of their own, with a null
+    capture_id. A capture is one row, which holds all its records.
     """
     kept = [c for c in records.columns if c not in ("archive", "start")]
-    mains = F.col("type").isin("response", "revisit", "resource")
-    rows = records.where(mains | F.col("type").isin("request", "metadata")).withColumn("named", F.coalesce("concurrent_to", "record_id")).withColumn("anchor", F.when(mains, F.col("record_id")).otherwise(F.col("named")))
-    via = rows.where(~mains & F.col("concurrent_to").isNotNull()).select(F.col("record_id").alias("named_id"), F.col("concurrent_to").alias("next")).dropDuplicates(["named_id"])
-    direct = rows.where(mains | F.col("anchor").isNull())
-    others = rows.where(~mains & F.col("anchor").isNotNull()).join(via, F.col("anchor") == F.col("named_id"), "left").withColumn("anchor", F.coalesce("next", "anchor")).drop("named_id", "next")
+    rows = records.where(F.col("type").isin(*MAINS, "request", "metadata")).withColumn("main", F.col("type").isin(*MAINS))
+    links = rows.where(~F.col("main") & F.col("record_id").isNotNull() & F.col("concurrent_to").isNotNull()).select(F.col("record_id").alias("a"), F.col("concurrent_to").alias("b")).distinct()
+    named = links.select(F.col("a").alias("b")).distinct()
+    own = F.when(F.col("main"), F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+    rows = rows.withColumn("anchor", own)
+    if not links.join(named, "b", "left_semi").isEmpty():  # some record names another that names a third
+        links = materialised(links)
+        ends = links.join(links.select(F.col("a").alias("b")).distinct(), "b", "left_anti").select("b").distinct()
+        roots = components(links)
+        last = roots.join(ends, F.col("node") == F.col("b"), "left").groupBy("root").agg(F.min("b").alias("end"))
+        ways = materialised(roots.join(last, "root").select(F.col("node").alias("anchor"), F.coalesce("end", "root").alias("end")))
+        rows = rows.join(ways, "anchor", "left").withColumn("anchor", F.coalesce("end", "anchor")).drop("end")
+    alone = F.concat_ws(":", F.lit("\u0001"), "archive", "start")  # no identifier looks like this
+    rows = rows.withColumn("capture_id", F.col("anchor")).withColumn("anchor", F.coalesce("anchor", alone))
     nested = F.struct(*kept)
     pick = lambda *kinds: F.collect_list(F.when(F.col("type").isin(*kinds), nested))
-    both = direct.unionByName(others).groupBy("anchor").agg(pick("response", "revisit", "resource").alias("main"), pick("request").alias("requests"), pick("metadata").alias("metadata"))
-    return both.select(F.col("anchor").alias("capture_id"), F.explode_outer("main").alias("response"), "requests", "metadata")
+    both = rows.groupBy("anchor").agg(F.first("capture_id").alias("capture_id"), pick(*MAINS).alias("main"), pick("request").alias("requests"), pick("metadata").alias("metadata"))
+    return both.select("capture_id", F.explode_outer("main").alias("response"), "requests", "metadata")
 
 
 def archived_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Pages written to archives in the shared folder, read back and assembled: a nested row per capture."""
-    return assemble(read_records(materialised(write_archives(pages, id_col, url_col, payload_col)), keep_block=False).drop("block"))
+    archives = materialised(write_archives(pages, id_col, url_col, payload_col))
+    records = materialised(read_records(archives, keep_block=False).drop("block"))
+    dropped(archives)
+    return assemble(records)
 
 
 def page_of(record_id: str) -> Column:
