@@ -24,8 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from geolith.llm.batches import small_batches, strings, text_of
+from geolith.tables import materialised
 
 PACKET = 188
+#: Streams in an Arrow batch.
+BATCH_ROWS = 32
 UNIT_MULTIPLE = 576
 UNIT_BYTES = 8 * UNIT_MULTIPLE
 RANDOM_ACCESS_EVERY = 16
@@ -232,7 +235,7 @@ def _described(s: Stream) -> str:
 
 def write_streams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and media: each text muxed as a transport stream."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH_ROWS)
     rows = text_of(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +248,7 @@ def write_streams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def read_streams(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """id, programs, units (timestamps and random-access points), continuity_errors, error and payload of each stream."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH_ROWS)
     rows = df.select(f"`{id_col}`", f"`{media_col}`")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,26 +260,24 @@ def read_streams(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, {_READ}")
 
 
-_DIGEST = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+_DIGEST = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
 
 def stream_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text muxed, demuxed from the stored bytes, and described by sizes, digests and a feature string."""
-    small_batches(df.sparkSession)
-    rows = text_of(df, id_col, text_col)
+    """Each text stored as a transport stream in a written media column, read back from it, and described by sizes, digests and a feature string."""
+    small_batches(df.sparkSession, BATCH_ROWS)
+    stored = materialised(write_streams(df, id_col, text_col), compression="zstd", group_bytes=8 << 20)
 
-    def digest(text: str) -> tuple:
-        n, payload = padded(text)
-        media = mux(payload)
+    def digest(media: bytes) -> tuple:
         s = demux(media)
         pts = [u.pts for u in s.units]
         feature = f"programs={_described(s)} packets={len(media) // PACKET} units={len(s.units)} pts={pts[0]}-{pts[-1]} access={','.join(str(u.pts) for u in s.units if u.random_access)} continuity_errors={s.continuity_errors} error={s.error or 'none'}"
-        return n, len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = list(zip(*map(digest, strings(b.column(1))), strict=True)) or [()] * len(_DIGEST)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, t) for v, (_, t) in zip(made, _DIGEST, strict=True)]], names=[id_col, *[n for n, _ in _DIGEST]])
+            made = list(zip(*map(digest, b.column(2).to_pylist()), strict=True)) or [()] * len(_DIGEST)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(v, t) for v, (_, t) in zip(made, _DIGEST, strict=True)]], names=[id_col, "n_bytes", *[n for n, _ in _DIGEST]])
 
     names = {pa.int64(): "bigint", pa.string(): "string"}
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} {names[t]}" for n, t in _DIGEST))
+    return stored.mapInArrow(run, f"`{id_col}` {stored.schema[0].dataType.simpleString()}, n_bytes bigint, " + ", ".join(f"{n} {names[t]}" for n, t in _DIGEST))
