@@ -161,8 +161,8 @@ def _at_depth(depth: int) -> Column:
     return F.col("key").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1))
 
 
-def resolved(counts: DataFrame) -> DataFrame:
-    """key and p, the log10 probability of its byte in its context. counts: key and n, the times it was counted, 0 for keys that are only asked for."""
+def resolved(counts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """key and p, the log10 probability of its byte in its context; and the written tables that it reads. counts: key and n, the times it was counted, 0 for keys that are only asked for."""
     levels = [counts]
     for depth in range(DEPTH - 1, -1, -1):
         levels.append(materialised(levels[-1].groupBy(_at_depth(depth).alias("key")).agg(F.sum("n").alias("n"))))
@@ -181,7 +181,7 @@ def resolved(counts: DataFrame) -> DataFrame:
             out = level.select("key", "n", "total", "kinds", beyond.alias("beyond"))
     escapes = F.when(F.col("kinds") == 256, 0).otherwise(F.col("kinds"))  # no byte is left to escape to
     size = F.col("total") + escapes
-    return out.select("key", F.when(F.col("n") > 0, F.log10(F.col("n") / size)).when(F.col("total") == 0, F.col("beyond")).otherwise(F.log10(escapes / size) + F.col("beyond")).cast("float").alias("p"))
+    return out.select("key", F.when(F.col("n") > 0, F.log10(F.col("n") / size)).when(F.col("total") == 0, F.col("beyond")).otherwise(F.log10(escapes / size) + F.col("beyond")).cast("float").alias("p")), levels
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -239,7 +239,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     model = spark.sparkContext.broadcast(Model(keys[order], frequent["n"].to_numpy()[order], tokens, distinct))
 
     chunks = materialised(rows.select("chunk", "held_out", "text").mapInArrow(_count_contexts, "chunk bigint, key bigint, n bigint"))
-    lengths = resolved(materialised(chunks.groupBy("key").agg(F.sum("n").alias("n"))))
+    lengths, levels = resolved(materialised(chunks.groupBy("key").agg(F.sum("n").alias("n"))))
     asked = chunks.select("chunk", "key").join(lengths, "key").select("chunk", "key", "p")
 
     release(spark)
@@ -272,6 +272,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         return pa.Table.from_batches(out)
 
     scored = materialised(rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, f"row bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>"))
+    dropped(rows, chunks, *levels)
+    release(spark)
     few = word.where(F.col("n") < least).select("key", (F.log10(F.col("n") + 0.5) - math.log10(0.5)).alias("gain"))
     more = scored.select("row", F.explode("rare").alias("key")).join(few, "key").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum("gain").alias("gain"))
     return scored.drop("rare").join(more, "row", "left").select(

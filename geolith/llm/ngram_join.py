@@ -63,6 +63,8 @@ BUCKETS = 1 << 20
 LARGEST_BITMAP = 1 << 14
 #: A prefix is longer by one gram for so many grams of the set.
 PER_SHARED = 16
+#: Bits a gram, and bits at least, of the bitmaps that travel.
+SENT_BITS = 2, 1024
 #: Parts over which the rows of a frequent gram are dealt.
 SALTS = 256
 LEAF, FAN_OUT = 16, 8
@@ -126,9 +128,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # -- signature trees ----------------------------------------------------------
 
-def width_of(n: int, per_gram: int = 8) -> int:
-    """Bits of a set's bitmap: a power of two, so many a gram or more, up to a limit."""
-    return min(LARGEST_BITMAP, max(64, 1 << (per_gram * n - 1).bit_length()))
+def width_of(n: int, per_gram: int = 8, least: int = 64) -> int:
+    """Bits of a set's bitmap: a power of two, so many a gram or more, within limits."""
+    return min(LARGEST_BITMAP, max(least, 1 << (per_gram * n - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -461,7 +463,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
     zone = F.when(large, F.floor(F.log("n") / float(np.log(100 / percent * 1.01)))).otherwise(0).cast("int")
     placed = members.select("gram", "cid", "root", "n", "size", zone.alias("zone"), (large & (F.col("root") == F.col("top"))).alias("top"))
     cells = placed.where(large).groupBy("gram", "zone", "top").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
-    cells = cells.groupBy("gram").agg(F.collect_list(F.struct("zone", "top", "blocks")).alias("cells"))
+    cells = materialised(cells.groupBy("gram").agg(F.collect_list(F.struct("zone", "top", "blocks")).alias("cells")))  # written, so that the join splits a hot gram
     key = lambda z, t, b: F.struct(z.alias("zone"), t.alias("top"), b.alias("block"))
     mine = F.get(F.filter("cells", lambda c: (c["zone"] == F.col("zone")) & (c["top"] == F.col("top"))), F.lit(0))
     here = key(F.col("zone"), F.col("top"), F.pmod(F.xxhash64("cid"), F.coalesce(mine["blocks"], F.lit(1)).cast("long")).cast("int"))
@@ -474,7 +476,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
     def describe_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(_groups(*_unpacked(b.column(1).to_pylist()), words_in_gram))
-            bits = [bitmap(s, width_of(len(s), 2)).tobytes() for s in found]
+            bits = [bitmap(s, width_of(len(s), *SENT_BITS)).tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(bits, pa.binary())], names=["cid", "grams", "bits"])
 
     several = materialised(able.select("cid", "rep").join(members.select("cid").distinct().hint("merge"), "cid", "left_semi"))
@@ -509,7 +511,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
     side = lambda k, grams: _only(whole.select(F.col("cid").alias(k), F.col("grams").alias(grams)), k, possible, k)
     both = possible.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
     more = materialised(both.mapInArrow(verify_pairs, "a bigint, b bigint"))
-    dropped(able, members, several, whole, possible, rooted)
+    dropped(able, members, cells, several, whole, possible, rooted)
     if not more.isEmpty():
         first = roots
         roots = components(first.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
@@ -517,9 +519,9 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
 
     rooted = classes.join(roots.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     release(spark)
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    least = materialised(rooted.groupBy("root").agg(F.min("rep").alias("component")))  # written, so that the join splits a large component
     named = materialised(rooted.join(least.hint("merge"), "root").select("cid", "component"))
-    dropped(links, more, roots, classes)
+    dropped(links, more, roots, classes, least)
     out = own.join(named.hint("merge"), "cid", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id")), [described, named]
