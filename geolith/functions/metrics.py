@@ -45,7 +45,7 @@ def length_sphere(ring: Column) -> Column:
 
 def polygon_area(polygon: Column, area=area_planar) -> Column:
     """Exterior less holes, not below 0."""
-    holes = F.aggregate(F.slice(polygon, 2, 1 << 20), F.lit(0.0), lambda acc, r: acc + area(r))
+    holes = F.aggregate(F.slice(polygon, F.lit(2), F.size(polygon)), F.lit(0.0), lambda acc, r: acc + area(r))
     return F.greatest(F.lit(0.0), area(F.get(polygon, F.lit(0))) - holes)
 
 
@@ -63,10 +63,19 @@ def compactness(polygon: Column, net: bool = False, area=area_planar, length=len
 
 def despeckle(polygon: Column, limit: float, area=area_planar) -> Column:
     """The polygon without holes below an area; null where its exterior is below."""
-    kept = F.concat(F.slice(polygon, 1, 1), F.filter(F.slice(polygon, 2, 1 << 20), lambda r: area(r) >= limit))
+    kept = F.concat(F.slice(polygon, 1, 1), F.filter(F.slice(polygon, F.lit(2), F.size(polygon)), lambda r: area(r) >= limit))
     return F.when(area(F.get(polygon, F.lit(0))) >= limit, kept)
 
 
+def despeckle_geometry(geom: Column, limit: float, area=area_planar) -> Column:
+    """Geometry without polygons, holes and closed lines below an area; open lines and points stay. Null where nothing is left."""
+    polys = F.filter(F.transform(geom["polys"], lambda p: despeckle(p, limit, area)), lambda p: p.isNotNull())
+    closed_line = lambda r: (F.size(r) > 3) & (F.get(r, F.lit(0)) == F.element_at(r, -1))
+    lines = F.filter(geom["lines"], lambda r: ~closed_line(r) | (area(r) >= limit))
+    left = (F.size(polys) > 0) | (F.size(lines) > 0) | (F.size(geom["points"]) > 0)
+    return F.when(left, F.struct(geom["srid"].alias("srid"), polys.alias("polys"), lines.alias("lines"), geom["points"].alias("points")))
+
+
 def envelope(ring: Column) -> Column:
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("west"), F.array_max(xs).alias("east"), F.array_min(ys).alias("south"), F.array_max(ys).alias("north"))
@@ -107,5 +116,5 @@ def in_ring(ring: Column, x: Column, y: Column) -> Column:
 
 def in_polygon(polygon: Column, x: Column, y: Column) -> Column:
     """Inside the exterior and in no hole."""
-    hole = F.exists(F.slice(polygon, 2, 1 << 20), lambda r: in_ring(r, x, y))
+    hole = F.exists(F.slice(polygon, F.lit(2), F.size(polygon)), lambda r: in_ring(r, x, y))
     return in_ring(F.get(polygon, F.lit(0)), x, y) & ~hole

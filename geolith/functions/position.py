@@ -41,6 +41,11 @@ class Box(NamedTuple):
         b = self.checked()
         return px / (b.width / (b.x2 - b.x1)) + b.x1, b.y2 - py / (b.height / (b.y2 - b.y1))
 
+    def pixel_length(self, pixels: Column) -> Column:
+        """A length in pixels, along a row, in world units."""
+        b = self.checked()
+        return F.abs(pixels * ((b.x2 - b.x1) / b.width))
+
     def pixel_area_km2(self) -> float:
         b = self.checked()
         return abs((b.x2 - b.x1) / b.width * (b.y2 - b.y1) / b.height) / 1e6
@@ -94,6 +99,16 @@ def envelopes_overlap(w1: Column, e1: Column, s1: Column, n1: Column, w2: Column
     return (s1 <= n2) & (n1 >= s2) & (meets(0.0) | meets(360.0) | meets(-360.0))
 
 
+def holds_longitudes(west: Column, east: Column, other_west: Column, other_east: Column) -> Column:
+    """Whether one range of longitudes holds another."""
+    return (west <= other_west) & (east >= other_east)
+
+
+def in_bounds(x: Column, y: Column, west: float, south: float, east: float, north: float) -> Column:
+    """Whether a place is finite and within bounds, their edge included."""
+    return F.coalesce(x.between(west, east) & y.between(south, north) & ~F.isnan(x) & ~F.isnan(y), F.lit(False))
+
+
 def liang_barsky(box: Box, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Share of a segment's start and end within a box, as struct<t0, t1>; null where none is."""
     dx, dy = x2 - x1, y2 - y1

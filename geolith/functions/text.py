@@ -62,7 +62,7 @@ def _svg(points: Column, box: Box | None, decimals: int, close: bool) -> Column:
     fresh = F.filter(shown, lambda p, i: (i == 0) | (p != F.coalesce(F.get(shown, i - 1), F.lit(""))))
     if close:
         fresh = F.when((F.size(fresh) > 1) & (F.get(fresh, F.lit(0)) == F.element_at(fresh, -1)), F.slice(fresh, F.lit(1), F.size(fresh) - 1)).otherwise(fresh)
-    head, rest = F.get(fresh, F.lit(0)), F.array_join(F.slice(fresh, 2, 1 << 20), " ")
+    head, rest = F.get(fresh, F.lit(0)), F.array_join(F.slice(fresh, F.lit(2), F.size(fresh)), " ")
     path = F.concat(F.lit("M"), head, F.when(F.size(fresh) > 1, F.concat(F.lit(" "), rest)).otherwise(F.lit("")), F.lit("Z" if close else ""))
     return F.when(F.size(fresh) > (2 if close else 1), path).otherwise(F.lit(""))
 

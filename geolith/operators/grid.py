@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
-#: Cells this large, in metres, come from projection faults.
-HUGE = 1e6
+# A cell is a pole's when one side is so many times the other; it comes from a projection fault when it is so many metres wide; it is oblong when it is so many times as high as wide, or the reverse. The first of invalid, pole, flat, huge, oblong and the windings that holds is a cell's quality.
+POLE, HUGE, OBLONG = 1000, 1e6, 100
 
 
 def generate(spark: SparkSession, nx: int, ny: int, x1: float, y1: float, x2: float, y2: float) -> DataFrame:
@@ -48,10 +48,10 @@ def cell_quality(grid: DataFrame) -> DataFrame:
     every = lambda test: test(turns[0]) & test(turns[1]) & test(turns[2]) & test(turns[3])
     quality = (
         F.when(missing, "invalid")
-        .when((high > low * 1000) | (low > high * 1000), "pole")
+        .when((high > low * POLE) | (low > high * POLE), "pole")
         .when((dx == 0) | (dy == 0), "invalid")
         .when((dx >= HUGE) | (dy >= HUGE), "huge")
-        .when((dy / dx < 0.01) | (dy / dx > 100), "oblong")
+        .when((dy / dx < 1 / OBLONG) | (dy / dx > OBLONG), "oblong")
         .when(every(lambda t: t <= 0), "clockwise")
         .when(every(lambda t: t >= 0), "counterclockwise")
         .otherwise("notconvex")
@@ -70,9 +70,10 @@ def wrap_shift(grid: DataFrame, height: int) -> DataFrame:
     row = grid.where(F.col("j") == height // 2)
     step = F.hypot(F.col("x") - F.lead("x").over(W.orderBy("i")), F.col("y") - F.lead("y").over(W.orderBy("i")))
     gaps = row.select("i", step.alias("gap")).where("gap is not null")
-    top = gaps.agg(F.max("gap").alias("most"), F.max_by("i", F.struct("gap", -F.col("i"))).alias("at"))
-    found = gaps.crossJoin(F.broadcast(top)).agg(F.bool_and((F.col("i") == F.col("at")) | (F.col("gap") <= 0.01 * F.col("most"))).alias("alone"), F.first("most").alias("most"), F.first("at").alias("at"))
-    return found.select(F.when(F.col("alone") & (F.col("most") > 0) & (F.col("at") > 0), F.col("at") + 1).otherwise(0).alias("shift"))
+    both = gaps.agg(F.max(F.struct("gap", (-F.col("i")).alias("i"))).alias("top"), F.sort_array(F.collect_list("gap"), False).alias("gaps"))  # one row of a grid
+    second = F.coalesce(F.get("gaps", F.lit(1)), F.lit(0.0))
+    most, at = F.col("top")["gap"], -F.col("top")["i"]
+    return both.select(F.when((second <= 0.01 * most) & (most > 0) & (at > 0), at + 1).otherwise(0).alias("shift"))
 
 
 def combine(left: DataFrame, right: DataFrame, how: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from geolith.tables import materialised
+
 METRES_PER_DEGREE = 111_320.0
 POLE_CIRCLE = 40_075_000.0
 
@@ -19,12 +21,18 @@ def with_step(vertices: DataFrame, *keys: str) -> DataFrame:
     return vertices.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
 
 
-def split_runs(vertices: DataFrame, key: str, jump: float) -> DataFrame:
-    """run: number of the stretch between jumps or missing places that a vertex is in; vertices without a place go."""
+def split_runs(vertices: DataFrame, key: str, jump: float, cyclic: bool = False) -> DataFrame:
+    """run: number of the stretch between jumps or missing places that a vertex is in; vertices without a place go. cyclic: the last stretch of a ring, whose end meets the first vertex within a jump, belongs to the first."""
     w = _order(key)
     known = F.col("x").isNotNull() & F.col("y").isNotNull()
     broken = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) > jump, F.lag(known).over(w) == F.lit(False), F.lit(False))
-    return vertices.withColumn("broken", broken.cast("int")).withColumn("run", F.sum("broken").over(w)).where(known).drop("broken")
+    rows = vertices.withColumn("broken", broken.cast("int")).withColumn("run", F.sum("broken").over(w)).where(known).drop("broken")
+    if not cyclic:
+        return rows
+    whole = W.partitionBy(key)
+    first, last = (F.first(F.struct("x", "y")).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.last(F.struct("x", "y")).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    meets = F.hypot(first["x"] - last["x"], first["y"] - last["y"]) <= jump
+    return rows.withColumn("run", F.when(meets & (F.col("run") == F.max("run").over(whole)), F.min("run").over(whole)).otherwise(F.col("run")))
 
 
 def densified(vertices: DataFrame, step: float, *keys: str, planar: bool = False) -> DataFrame:
@@ -46,13 +54,24 @@ def densified(vertices: DataFrame, step: float, *keys: str, planar: bool = False
     return cut.select(*keys, "idx", "part", at("x", "nx").alias("x"), at("y", "ny").alias("y"), F.col("nx").isNull().alias("last"))
 
 
-def without_repeats(vertices: DataFrame, *keys: str, within: float = 0.0) -> DataFrame:
-    """Vertices that differ from the one before by more than a distance."""
+def without_repeats(vertices: DataFrame, *keys: str, within: float = 0.0, grid: float | None = None) -> DataFrame:
+    """Vertices that differ from the one before by more than a distance; or, with a grid, that lie in another of its cells (towards nil)."""
     w = _order(*keys)
-    step = F.greatest(F.abs(F.col("x") - F.lag("x").over(w)), F.abs(F.col("y") - F.lag("y").over(w)))
+    place = (lambda n: F.col(n)) if grid is None else (lambda n: F.when(F.col(n) < 0, F.ceil(F.col(n) / grid)).otherwise(F.floor(F.col(n) / grid)))
+    step = F.greatest(*[F.abs(place(n) - F.lag(place(n)).over(w)) for n in "xy"])
     return vertices.withColumn("step_", step).where(F.col("step_").isNull() | (F.col("step_") > within)).drop("step_")
 
 
+def vertex_ids(vertices: DataFrame) -> DataFrame:
+    """x, y and vertex, the rank of every different place from 1 on. Places are sorted over all tasks; a task's ranks begin where those of the tasks before it end."""
+    places = vertices.select("x", "y").distinct().repartitionByRange("x", "y").sortWithinPartitions("x", "y")
+    places = materialised(places.withColumn("at", F.monotonically_increasing_id()))  # the task's number, and the place's within it
+    task, rank = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = places.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"))  # a row for each task
+    before = sizes.select("task", (F.sum("n").over(W.orderBy("task")) - F.col("n")).alias("before"))
+    return places.withColumn("task", task).join(F.broadcast(before), "task").select("x", "y", (F.col("before") + rank + 1).alias("vertex"))
+
+
 def vertex_counts(vertices: DataFrame, *keys: str) -> DataFrame:
     """x, y and n: in how many rings' places a vertex stands; a closed ring's last vertex counts once."""
     w = W.partitionBy(*keys, "ring")

@@ -115,11 +115,68 @@ def length(geom: Column) -> Column:
     return F.aggregate(geom["lines"], F.lit(0.0), lambda acc, r: acc + length_planar(r))
 
 
-def transform(geom: Column, projection: str, bounds: tuple[float, float, float, float], densify_km: float = 50.0, jump_km: float = 500.0) -> Column:
-    """lon/lat geometry in a projection, without its seams and within bounds; null where nothing is left."""
+def transform(geom: Column, projection: str, bounds: tuple[float, float, float, float], densify_km: float = 50.0, jump_km: float = 500.0, source: str | None = None) -> Column:
+    """lon/lat geometry in a projection, without its seams and within bounds; geometry of another projected system (source) is moved vertex by vertex. Null where nothing is left."""
     from geolith.operators import project
 
-    return mapped(lambda g: project.transform(g, projection, bounds, densify_km, jump_km))(geom)
+    return mapped(lambda g: project.transform(g, projection, bounds, densify_km, jump_km, source))(geom)
+
+
+def translated(geom: Column, dx: float, dy: float) -> Column:
+    """Geometry moved by a distance."""
+    return vertices_mapped(geom, lambda p: schema.point(p["x"] + dx, p["y"] + dy))
+
+
+def vertices_mapped(geom: Column, f: Callable[[Column], Column]) -> Column:
+    """Geometry with a function of points applied to every vertex."""
+    path = lambda r: F.transform(r, f)
+    polys = F.transform(geom["polys"], lambda p: F.transform(p, path))
+    return F.when(geom.isNotNull(), F.struct(geom["srid"].alias("srid"), polys.alias("polys"), F.transform(geom["lines"], path).alias("lines"), path(geom["points"]).alias("points")))
+
+
+def projected(geom: Column, projection: str, source: str | None = None) -> Column:
+    """Every vertex in a projection, in expressions alone, without cuts; places it cannot show are null."""
+    from geolith.functions import projections
+
+    to = projections.forward(projection) if source is None else projections.between(source, projection)
+    return vertices_mapped(geom, lambda p: schema.point(*to(p["x"], p["y"])))
+
+
+def contains(geom: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in one of a geometry's polygons; lines and points hold nothing."""
+    from geolith.functions.metrics import in_polygon
+
+    return F.exists(geom["polys"], lambda p: in_polygon(p, x, y))
+
+
+def fingerprint(geom: Column) -> Column:
+    """A hash of a geometry's value."""
+    return F.xxhash64(geom)
+
+
+def disc(lon: Column, lat: Column, metres: Column, segments: int = 360) -> Column:
+    """A disc on the globe as polygons between -180 and 180 degrees; one that holds a pole runs along it."""
+    from geolith.operators import project
+
+    @arrow_udf(schema.GEOMETRY)
+    def run(x: pa.Array, y: pa.Array, r: pa.Array) -> pa.Array:
+        rows = zip(x.to_pylist(), y.to_pylist(), r.to_pylist(), strict=True)
+        return pa.array([None if None in row else packed(regions.Geometry(project.circle_parts(*row, segments), [], []), 4326) for row in rows], _ARROW)
+
+    return run(lon.cast("double"), lat.cast("double"), metres.cast("double"))
+
+
+def simple(geom: Column) -> Column:
+    """Geometry whose polygons' rings meet no vertex twice: rings are cut there, and holes go to the ring that holds them."""
+    def run(g: regions.Geometry) -> regions.Geometry:
+        polys = []
+        for p in g.polys:
+            rings = [(k, s) for k, r in enumerate(p) for s in regions.simple_rings(r)]
+            outer = [s if regions.signed_area(s) > 0 else s[::-1] for k, s in rings if k == 0]
+            polys += regions.assembled([*outer, *(s if regions.signed_area(s) < 0 else s[::-1] for k, s in rings if k)])
+        return regions.Geometry(polys, g.lines, g.points)
+
+    return mapped(run)(geom)
 
 
 def overlay(geom: Column, polygons: list[regions.Polygon], how: str) -> Column:
@@ -128,21 +185,19 @@ def overlay(geom: Column, polygons: list[regions.Polygon], how: str) -> Column:
 
 
 def expand(geom: Column, metres: float) -> Column:
-    """lon/lat geometry widened by metres in Mercator, exterior rings only: lines by the distance, points and polygons by twice it."""
-    from geolith.operators import project
+    """lon/lat geometry widened by metres in world Mercator (EPSG 3395), exterior rings only: lines by the distance, points and polygons by twice it."""
+    from geolith.functions.projections import forward_array, inverse_array
 
-    to = project.forward("+proj=merc")
-
-    def back(p: regions.Point) -> regions.Point:
-        return math.degrees(p[0] / 6378137.0), math.degrees(2 * math.atan(math.exp(p[1] / 6378137.0)) - math.pi / 2)
+    world = "+proj=merc +datum=WGS84"
+    to, back = forward_array(world), inverse_array(world)
+    flat = lambda r: list(map(tuple, to(r).tolist()))
 
     def run(g: regions.Geometry) -> regions.Geometry:
-        flat = lambda r: [to(*p) for p in r]
         rings = [r for line in g.lines for r in triangulation.buffer(flat(line), metres)]
-        rings += [r for p in g.points for r in triangulation.buffer([to(*p)], 2 * metres)]
+        rings += [r for p in g.points for r in triangulation.buffer(flat([p]), 2 * metres)]
         rings += [p[0] for poly in g.polys for p in triangulation.union([[flat(poly[0])], *[[r] for r in triangulation.buffer(flat(poly[0]), 2 * metres)]])]
         merged = triangulation.union([[r] for r in rings]) if len(rings) > 1 else [[r] for r in rings]
-        return regions.Geometry([[[back(p) for p in poly[0]]] for poly in merged], [], [])
+        return regions.Geometry([[list(map(tuple, back(poly[0]).tolist()))] for poly in merged], [], [])
 
     return mapped(run)(geom)
 
@@ -187,12 +242,16 @@ def smooth(rings: DataFrame, kind: str, radius: float, iterations: int, *keys: s
 
 # -- amalgamation -------------------------------------------------------------
 
-def amalgamate(polygons: DataFrame, key: str, gap: float, least_area: float = 0.0, mainland: float | None = None) -> DataFrame:
+def amalgamate(polygons: DataFrame, key: str, gap: float, least_area: float = 0.0, mainland: float | None = None, least_total: float | None = None, close_bays: bool = False, parity: bool = False) -> DataFrame:
     """polygon and area of clusters joined across gaps. polygons: key (integer) and polygon.
 
-    Polygons whose envelopes come within a gap form clusters; clusters below an
-    area go before any triangulation, single polygons pass through, and those of
-    mainland size stand aside, so no task meets a continent.
+    Polygons whose envelopes come within a gap form clusters; clusters whose
+    total area is below least_total (by default least_area) go before any
+    triangulation, and results below least_area after it. Single polygons pass
+    through. Those of mainland size stand aside: they come back as they are, or
+    with their own bays closed. Without a gap polygons are only filtered by area.
+    parity: what lies within an even number of a cluster's rings is outside, also
+    where polygons overlap.
     """
     from geolith.functions.metrics import envelope as ring_envelope, polygon_area
     from geolith.operators.joins import boxes_within, connected_components
@@ -203,22 +262,29 @@ def amalgamate(polygons: DataFrame, key: str, gap: float, least_area: float = 0.
     aside = F.col("area") >= mainland if mainland else F.lit(False)
     small = rows.where(~aside).withColumn("box", ring_envelope(F.get("polygon", F.lit(0))))
     b = small.select("key", "box")
-    pairs = boxes_within(b, b, gap, max(8 * gap, 1e-6)).where("key < other_key").select("key", "other_key")
+    pairs = boxes_within(b, b, gap, 4 * gap).where("key < other_key").select("key", "other_key")
     named = small.join(connected_components(small, pairs, "key", "key", "other_key"), "key")
-    clusters = named.groupBy("component").agg(F.sum("area").alias("total"), F.collect_list("polygon").alias("polygons")).where(F.col("total") >= least_area)
+    clusters = named.groupBy("component").agg(F.sum("area").alias("total"), F.collect_list("polygon").alias("polygons"))
+    clusters = clusters.where(F.col("total") >= (least_area if least_total is None else least_total))
 
     kind = "array<array<array<struct<x double, y double>>>>"
     arrow = pa.list_(pa.list_(_PATH_ARROW))
 
-    @arrow_udf(kind)
-    def joined(column: pa.Array) -> pa.Array:
-        out = []
-        for value in column.to_pylist():
-            got = [[[(p["x"], p["y"]) for p in r] for r in poly] for poly in value]
-            if len(got) > 1:
-                got = triangulation.amalgamate(got, gap, least_area)
-            out.append([[[{"x": x, "y": y} for x, y in r] for r in poly] for poly in got])
-        return pa.array(out, arrow)
-
-    made = clusters.select(F.explode(joined("polygons")).alias("polygon")).withColumn("area", polygon_area(F.col("polygon")))
-    return made.where(F.col("area") >= least_area).unionByName(rows.where(aside).select("polygon", "area"))
+    def joiner(alone: bool) -> Callable[[Column], Column]:
+        @arrow_udf(kind)
+        def joined(column: pa.Array) -> pa.Array:
+            out = []
+            for value in column.to_pylist():
+                got = [[[(p["x"], p["y"]) for p in r] for r in poly] for poly in value]
+                if alone or len(got) > 1:
+                    got = triangulation.amalgamate(got, gap, least_area, parity)
+                out.append([[[{"x": x, "y": y} for x, y in r] for r in poly] for poly in got])
+            return pa.array(out, arrow)
+
+        return joined
+
+    made = clusters.select(F.explode(joiner(False)("polygons")).alias("polygon"))
+    if mainland:
+        large = rows.where(aside)
+        made = made.unionByName(large.select(F.explode(joiner(True)(F.array("polygon"))).alias("polygon")) if close_bays else large.select("polygon"))
+    return made.withColumn("area", polygon_area(F.col("polygon"))).where(F.col("area") >= least_area)

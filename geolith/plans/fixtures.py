@@ -23,6 +23,17 @@ _WEST = "((o_orderkey * 7919) % 36000) / CAST(100 AS DOUBLE) - CAST(181 AS DOUBL
 _MID = "((o_orderkey * 6151) % 17000) / CAST(100 AS DOUBLE) - CAST(85 AS DOUBLE)"
 
 
+def _raster(cells: int, side: int, value: str) -> tuple[str, ...]:
+    """Tile, cell and value of a part in a level of tiles with so many cells, fifteen tiles to a row."""
+    n = f"floor(p_partkey / CAST({cells} AS DOUBLE))"
+    return f"{n} % 15", f"floor({n} / 15)", f"p_partkey % {side}", f"floor((p_partkey % {cells}) / CAST({side} AS DOUBLE))", value
+
+
+_CELL = ("tile_lon", "tile_lat", "cell_i", "cell_j", "value")
+_FINE = _raster(1600, 40, "CASE WHEN p_partkey % 17 = 0 THEN -32768 ELSE p_size END")
+_COARSE = _raster(100, 10, "CASE WHEN p_partkey % 23 = 0 THEN -32768 ELSE 100 + p_size END")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,17 +83,16 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two raster levels: a fine one with gaps around (0, 0), and a coarse one beside it."""
-    t = table(spark, sf_dir, "part").where("p_partkey < 1600")
-    value = "CASE WHEN p_partkey % 17 = 0 THEN -32768 ELSE p_size END"
-    fine = t.select(F.lit(40).alias("level_size"), F.lit(0).alias("tile_lon"), F.lit(0).alias("tile_lat"), F.expr("CAST(p_partkey % 40 AS INT)").alias("cell_i"), F.expr("CAST(floor(p_partkey / CAST(40 AS DOUBLE)) AS INT)").alias("cell_j"), F.expr(value).cast("int").alias("value"))
-    wide = t.where("p_partkey < 200").select(F.lit(10).alias("level_size"), F.expr("CAST(floor(p_partkey / CAST(100 AS DOUBLE)) AS INT)").alias("tile_lon"), F.lit(0).alias("tile_lat"), F.expr("CAST(p_partkey % 10 AS INT)").alias("cell_i"), F.expr("CAST(floor((p_partkey % 100) / CAST(10 AS DOUBLE)) AS INT)").alias("cell_j"), F.expr("CASE WHEN p_partkey % 23 = 0 THEN -32768 ELSE 100 + p_size END").cast("int").alias("value"))
+    """Two raster levels over all parts: a fine one of tiles with 40 cells a side, with gaps, and a coarse one of tiles with 10."""
+    t = table(spark, sf_dir, "part")
+    fine = t.select(F.lit(40).alias("level_size"), *[F.expr(f"CAST({e} AS INT)").alias(n) for n, e in zip(_CELL, _FINE, strict=True)])
+    wide = t.select(F.lit(10).alias("level_size"), *[F.expr(f"CAST({e} AS INT)").alias(n) for n, e in zip(_CELL, _COARSE, strict=True)])
     return fine.unionAll(wide)
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points within and around the raster, for every order."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr("((o_orderkey * 7919) % 3200) / CAST(1000 AS DOUBLE) - CAST(0.6 AS DOUBLE)").alias("lon"), F.expr("((o_orderkey * 6151) % 1700) / CAST(1000 AS DOUBLE) - CAST(0.3 AS DOUBLE)").alias("lat"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr("((o_orderkey * 7919) % 16200) / CAST(1000 AS DOUBLE) - CAST(0.6 AS DOUBLE)").alias("lon"), F.expr("((o_orderkey * 6151) % 2700) / CAST(1000 AS DOUBLE) - CAST(0.3 AS DOUBLE)").alias("lat"))
 
 
 def shores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +110,8 @@ SQL = {
     "circles": f"circles AS (SELECT s_suppkey, {_CIRCLE_X} AS cx, {_CIRCLE_Y} AS cy, CAST(1 + s_suppkey % 7 AS DOUBLE) AS r FROM supplier)",
     "boxes": f"boxes AS (SELECT p_partkey, {_PART_X} AS x0, {_PART_Y} AS y0, p_size / CAST(10 AS DOUBLE) AS side FROM part)",
     "traj": "traj AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, CAST(value AS DOUBLE) AS x, CAST(event_id % 180 - 90 AS DOUBLE) AS y FROM events)",
-    "cells": """cells AS (
-  SELECT 40 AS level_size, 0 AS tile_lon, 0 AS tile_lat, p_partkey % 40 AS cell_i, floor(p_partkey / CAST(40 AS DOUBLE)) AS cell_j, CASE WHEN p_partkey % 17 = 0 THEN -32768 ELSE p_size END AS value FROM part WHERE p_partkey < 1600
-  UNION ALL SELECT 10, floor(p_partkey / CAST(100 AS DOUBLE)), 0, p_partkey % 10, floor((p_partkey % 100) / CAST(10 AS DOUBLE)), CASE WHEN p_partkey % 23 = 0 THEN -32768 ELSE 100 + p_size END FROM part WHERE p_partkey < 200)""",
-    "probes": "probes AS (SELECT o_orderkey, ((o_orderkey * 7919) % 3200) / CAST(1000 AS DOUBLE) - CAST(0.6 AS DOUBLE) AS lon, ((o_orderkey * 6151) % 1700) / CAST(1000 AS DOUBLE) - CAST(0.3 AS DOUBLE) AS lat FROM orders)",
+    "cells": "cells AS (SELECT 40 AS level_size, " + ", ".join(f"CAST({e} AS INT) AS {n}" for n, e in zip(_CELL, _FINE, strict=True)) + " FROM part UNION ALL SELECT 10, " + ", ".join(f"CAST({e} AS INT)" for e in _COARSE) + " FROM part)",
+    "probes": "probes AS (SELECT o_orderkey, ((o_orderkey * 7919) % 16200) / CAST(1000 AS DOUBLE) - CAST(0.6 AS DOUBLE) AS lon, ((o_orderkey * 6151) % 2700) / CAST(1000 AS DOUBLE) - CAST(0.3 AS DOUBLE) AS lat FROM orders)",
     "shores": f"shores AS (SELECT o_orderkey, CAST(o_orderkey % 4 + 1 AS INT) AS level, round(o_totalprice / CAST(10 AS DOUBLE), 6) AS area_km2, {_WEST} AS west, {_WEST} + 2 AS east, {_MID} - 1 AS south, {_MID} + 1 AS north FROM orders)",
 }
 

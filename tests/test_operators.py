@@ -124,8 +124,10 @@ def test_interrupts_and_projection():
     far = Geometry([], [], [(180.0, 0.0)])
     assert project.interrupted(far, project.interrupt("+proj=gnom")) is None
 
-    def merc(lon, lat):
-        return (math.radians(lon) * 6378137, math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) * 6378137) if abs(lat) < 89.99 else (math.nan, math.nan)
+    def merc(places):
+        p = np.asarray(places, float).reshape(-1, 2)
+        y = np.log(np.tan(np.pi / 4 + np.radians(np.clip(p[:, 1], -89.99, 89.99)) / 2)) * 6378137
+        return np.where(np.abs(p[:, 1:]) < 89.99, np.stack([np.radians(p[:, 0]) * 6378137, y], axis=1), np.nan)
 
     world = Geometry([[[(-179.0, -80.0), (179.0, -80.0), (179.0, 80.0), (-179.0, 80.0), (-179.0, -80.0)]]], [], [])
     bounds = (-1e7, -1e7, 1e7, 1e7)
