@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from geolith.tables import dropped, materialised
+from geolith.tables import dropped, few, materialised
 
 #: Edges that one task contracts; larger graphs shrink in shuffles.
 FEW = 1 << 18
@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     as a table, so lineage stays short and a lost executor costs one round. A
     graph of at most FEW edges is contracted in one task.
     """
-    edges = materialised(edges.select("a", "b").where("a <> b").distinct())
+    edges = materialised(few(edges.select("a", "b").where("a <> b").distinct()))
     kind, before = edges.schema["a"].dataType.simpleString(), None
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
