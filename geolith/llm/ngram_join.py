@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from geolith.llm.batches import small_batches, text_buffer
 from geolith.llm.words import Words, grams, mix, words
 from geolith.operators.components import components
-from geolith.tables import dropped, materialised, release
+from geolith.tables import dropped, few, gathered, materialised, release
 
 #: Grams in more than this share of a task's documents are counted as possibly frequent.
 FREQUENT = 1e-3
@@ -375,7 +375,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
     mins = [f"m{k}" for k in range(ROUTES)]
     described = materialised(docs.mapInArrow(_describe(words_in_gram, percent), f"id {kind}, cid bigint, n bigint, " + "".join(f"{m} bigint, " for m in mins) + "gram bigint, times bigint"))
     own = described.where("times is null")
-    classes = materialised(own.where("n > 0 and id is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in mins]))
+    classes = materialised(few(own.where("n > 0 and id is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in mins])))
 
     total = classes.count()
     grams_seen = described.where("times is not null").groupBy("gram").agg(F.sum("times").alias("times"))
@@ -395,10 +395,10 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
 
     # round 1: blocks of classes that share minimum hashes
     routes = classes.select("cid", "rep", F.explode(F.array(*[F.xxhash64(F.lit(k), m) for k, m in enumerate(mins)])).alias("route"))
-    shared = materialised(routes.groupBy("route").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = materialised(few(routes.groupBy("route").agg(F.count(F.lit(1)).alias("size")).where("size > 1")))
     met = _only(routes, "route", shared, "route").join(shared.hint("merge"), "route")
     block = F.pmod(F.xxhash64("cid", "route"), F.ceil(F.col("size") / BLOCK))
-    wanted = materialised(met.groupBy("cid", "rep").agg(F.collect_set(F.struct("route", block.alias("block"))).alias("meets")))
+    wanted = materialised(few(met.groupBy("cid", "rep").agg(F.collect_set(F.struct("route", block.alias("block"))).alias("meets"))))
     blocks = texts_of(wanted).select("cid", "text", F.explode("meets").alias("meet")).select("meet.route", "meet.block", "cid", "text")
 
     def verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +406,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
             if t.num_rows > 1:
                 yield _pairs_out(stars(t["cid"].to_numpy(), list(_groups(*_unpacked(t["text"].to_pylist()), words_in_gram)), percent))
 
-    links = materialised(blocks.repartition("route", "block").sortWithinPartitions("route", "block").mapInArrow(verify_blocks, "a bigint, b bigint"))
+    links = materialised(gathered(blocks.repartition("route", "block").sortWithinPartitions("route", "block").mapInArrow(verify_blocks, "a bigint, b bigint")))
     roots = components(links)
     dropped(shared, wanted)
     release(spark)
@@ -440,7 +440,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
             yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(cid[keep]), pa.array(rank[keep])], names=["gram", "cid", "times"])
 
     made = docs.where("id is not null").mapInArrow(prefixes, f"rep {kind}, cid bigint, rare array<bigint>, hot array<bigint>")
-    rooted = materialised(classes.join(roots.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("cid", "rep", "n", F.coalesce("root", "cid").alias("root")))
+    rooted = materialised(few(classes.join(roots.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("cid", "rep", "n", F.coalesce("root", "cid").alias("root"))))
     prefix = made.join(rooted.select("cid", "rep", "root").hint("merge"), ["cid", "rep"]).dropDuplicates(["cid", "rep"])
     dealt = F.pmod(F.xxhash64("cid"), F.lit(SALTS)) + 1  # the rows of a frequent gram are dealt to many tasks
     both = F.concat(F.transform("rare", lambda g: F.struct(g.alias("gram"), F.lit(0).cast("long").alias("salt"))), F.transform("hot", lambda g: F.struct(g.alias("gram"), dealt.alias("salt"))))
@@ -452,18 +452,18 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
     gathered = spread.groupBy("cid").agg(F.collect_list(F.struct("times", "gram")).alias("shared"))
     able = gathered.join(rooted.hint("merge"), "cid").where(F.size("shared") >= needed)
     rarest = F.slice(F.sort_array("shared"), F.lit(1), F.size("shared") - needed + 1)
-    able = materialised(able.select("cid", "rep", "root", "n", F.transform(rarest, lambda g: g["gram"]).alias("grams")))
+    able = materialised(few(able.select("cid", "rep", "root", "n", F.transform(rarest, lambda g: g["gram"]).alias("grams"))))
     release(spark)
 
     # grams that still have several components; those of the largest one meet the others only
     members = able.select(F.explode("grams").alias("gram"), "cid", "root", "n")
     sides = members.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("size"), F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-    members = materialised(members.join(sides.where("roots > 1").drop("roots").hint("merge"), "gram"))
+    members = materialised(few(members.join(sides.where("roots > 1").drop("roots").hint("merge"), "gram")))
     large = F.col("size") > PAIR_BLOCK
     zone = F.when(large, F.floor(F.log("n") / float(np.log(100 / percent * 1.01)))).otherwise(0).cast("int")
     placed = members.select("gram", "cid", "root", "n", "size", zone.alias("zone"), (large & (F.col("root") == F.col("top"))).alias("top"))
     cells = placed.where(large).groupBy("gram", "zone", "top").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
-    cells = materialised(cells.groupBy("gram").agg(F.collect_list(F.struct("zone", "top", "blocks")).alias("cells")))  # written, so that the join splits a hot gram
+    cells = materialised(few(cells.groupBy("gram").agg(F.collect_list(F.struct("zone", "top", "blocks")).alias("cells"))))  # written, so that the join splits a hot gram
     key = lambda z, t, b: F.struct(z.alias("zone"), t.alias("top"), b.alias("block"))
     mine = F.get(F.filter("cells", lambda c: (c["zone"] == F.col("zone")) & (c["top"] == F.col("top"))), F.lit(0))
     here = key(F.col("zone"), F.col("top"), F.pmod(F.xxhash64("cid"), F.coalesce(mine["blocks"], F.lit(1)).cast("long")).cast("int"))
@@ -479,7 +479,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
             bits = [bitmap(s, width_of(len(s), *SENT_BITS)).tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(bits, pa.binary())], names=["cid", "grams", "bits"])
 
-    several = materialised(able.select("cid", "rep").join(members.select("cid").distinct().hint("merge"), "cid", "left_semi"))
+    several = materialised(few(able.select("cid", "rep").join(members.select("cid").distinct().hint("merge"), "cid", "left_semi")))
     whole = materialised(texts_of(several).select("cid", "text").mapInArrow(describe_sets, "cid bigint, grams binary, bits binary"))
     met = met.join(whole.select("cid", "bits").hint("merge"), "cid")
 
@@ -507,10 +507,10 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
                 yield _pairs_out(found)
 
     met = met.select("block", "cid", "root", "second", "alone", "n", "bits")
-    possible = materialised(met.repartition("block").sortWithinPartitions("block").mapInArrow(pairs, "a bigint, b bigint").distinct())
+    possible = materialised(gathered(met.repartition("block").sortWithinPartitions("block").mapInArrow(pairs, "a bigint, b bigint").distinct()))
     side = lambda k, grams: _only(whole.select(F.col("cid").alias(k), F.col("grams").alias(grams)), k, possible, k)
     both = possible.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
-    more = materialised(both.mapInArrow(verify_pairs, "a bigint, b bigint"))
+    more = materialised(gathered(both.mapInArrow(verify_pairs, "a bigint, b bigint")))
     dropped(able, members, cells, several, whole, possible, rooted)
     if not more.isEmpty():
         first = roots
@@ -519,8 +519,8 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
 
     rooted = classes.join(roots.withColumnRenamed("node", "cid").hint("merge"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     release(spark)
-    least = materialised(rooted.groupBy("root").agg(F.min("rep").alias("component")))  # written, so that the join splits a large component
-    named = materialised(rooted.join(least.hint("merge"), "root").select("cid", "component"))
+    least = materialised(few(rooted.groupBy("root").agg(F.min("rep").alias("component"))))  # written, so that the join splits a large component
+    named = materialised(few(rooted.join(least.hint("merge"), "root").select("cid", "component")))
     dropped(links, more, roots, classes, least)
     out = own.join(named.hint("merge"), "cid", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
@@ -531,7 +531,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """df with one row of each component, that of the least id; rows without an id or without words all stay."""
     made, read = _joined(df, id_col, text_col, words_in_gram, percent)
     found = made.where(F.col(id_col).isNotNull() & (F.col("n_shingles") > 0)).groupBy(id_col).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows_"))
-    found = materialised(found.where((F.col(id_col) != F.col("component_id")) | (F.col("rows_") > 1)))
+    found = materialised(few(found.where((F.col(id_col) != F.col("component_id")) | (F.col("rows_") > 1))))
     dropped(*read)
     release(df.sparkSession)
     bucket = next(n for n in ("bucket", *(f"bucket_{k}" for k in range(len(df.columns)))) if n not in df.columns)
