@@ -449,8 +449,8 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
     spread = spread.repartition("gram", "salt").drop("salt").sortWithinPartitions("gram").mapInArrow(shared_grams, "gram bigint, cid bigint, times bigint")
     smallest = F.floor((percent * F.col("n") + 99) / 100)  # of the sets that one of n may link with
     needed = (1 + F.floor(smallest / PER_SHARED)).cast("int")
-    gathered = spread.groupBy("cid").agg(F.collect_list(F.struct("times", "gram")).alias("shared"))
-    able = gathered.join(rooted.hint("merge"), "cid").where(F.size("shared") >= needed)
+    lists = spread.groupBy("cid").agg(F.collect_list(F.struct("times", "gram")).alias("shared"))
+    able = lists.join(rooted.hint("merge"), "cid").where(F.size("shared") >= needed)
     rarest = F.slice(F.sort_array("shared"), F.lit(1), F.size("shared") - needed + 1)
     able = materialised(few(able.select("cid", "rep", "root", "n", F.transform(rarest, lambda g: g["gram"]).alias("grams"))))
     release(spark)
