@@ -166,6 +166,11 @@ def disc(lon: Column, lat: Column, metres: Column, segments: int = 360) -> Colum
     return run(lon.cast("double"), lat.cast("double"), metres.cast("double"))
 
 
+def straight(geom: Column) -> Column:
+    """Geometry whose polygons' rings have no vertex on the way from the last one kept to the next."""
+    return mapped(lambda g: regions.Geometry([[paths.straightened(r) for r in p] for p in g.polys], g.lines, g.points))(geom)
+
+
 def simple(geom: Column) -> Column:
     """Geometry whose polygons' rings meet no vertex twice: rings are cut there, and holes go to the ring that holds them."""
     def run(g: regions.Geometry) -> regions.Geometry:

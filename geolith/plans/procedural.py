@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 
 from geolith import schema
 from geolith.functions import codec, text
-from geolith.operators import project, spatial
+from geolith.operators import spatial
 from geolith.operators.regions import Box, Circle, Sphere
-from geolith.plans.fixtures import SQL, boxes, points, square, stars, table, tiles, trajectories, with_
+from geolith.plans.fixtures import SQL, boxes, circles, points, square, stars, table, tiles, trajectories, with_
 from geolith.plans.registry import query
 
 _WINDOW = Box(200, 200, 600, 600)
@@ -67,38 +67,96 @@ def _star_geometries(spark: SparkSession, sf: str) -> DataFrame:
     return stars(spark, sf).select("vec_id", schema.geometry(polys=F.array("polygon")).alias("geom"))
 
 
-def _split_is_whole(df: DataFrame, region, tolerance: float) -> DataFrame:
-    """Whether the parts inside and outside a region make up each polygon."""
-    whole = spatial.area(F.col("geom"))
-    parts = spatial.area(F.col("inside")) + spatial.area(F.col("outside"))
-    both = df.select("vec_id", "geom", spatial.polyclip(F.col("geom"), region).alias("inside"), spatial.polycut(F.col("geom"), region).alias("outside"))
-    return both.select("vec_id", (F.abs(whole - parts) <= tolerance * whole).alias("whole"))
+_SHOELACE = "SELECT vec_id, round(abs(sum(x1 * y2 - x2 * y1)) / 2, 5) AS area FROM edges GROUP BY vec_id"
 
 
-@query("SELECT vec_id, true AS whole FROM embeddings")
+def _both_parts(df: DataFrame, region) -> DataFrame:
+    """Area of the parts inside and outside a region together."""
+    both = df.select("vec_id", spatial.polyclip(F.col("geom"), region).alias("inside"), spatial.polycut(F.col("geom"), region).alias("outside"))
+    return both.select("vec_id", F.round(spatial.area(F.col("inside")) + spatial.area(F.col("outside")), 5).alias("area"))
+
+
+@query(with_("verts", "edges") + _SHOELACE)
 def polygon_split_box(spark: SparkSession, sf: str) -> DataFrame:
-    return _split_is_whole(_star_geometries(spark, sf), Box(-100, -40, 95, 42), 1e-9)
+    return _both_parts(_star_geometries(spark, sf), Box(-100, -40, 95, 42))
 
 
-@query("SELECT vec_id, true AS whole FROM embeddings")
+@query(with_("verts", "edges") + _SHOELACE)
 def polygon_split_circle(spark: SparkSession, sf: str) -> DataFrame:
-    return _split_is_whole(_star_geometries(spark, sf), Circle(0, 0, 60), 1e-2)
+    return _both_parts(_star_geometries(spark, sf), Circle(0, 0, 60))
 
 
-@query()
+@query(_WIDE + """, p AS (SELECT p_partkey, CASE WHEN y0 > 200 AND y0 < 600 THEN greatest(0, least(x0 + side, 600) - greatest(x0, 200)) ELSE 0 END + CASE WHEN y0 + side > 200 AND y0 + side < 600 THEN greatest(0, least(x0 + side, 600) - greatest(x0, 200)) ELSE 0 END
+ + CASE WHEN x0 > 200 AND x0 < 600 THEN greatest(0, least(y0 + side, 600) - greatest(y0, 200)) ELSE 0 END + CASE WHEN x0 + side > 200 AND x0 + side < 600 THEN greatest(0, least(y0 + side, 600) - greatest(y0, 200)) ELSE 0 END AS inside,
+ x0 > 200 AND x0 + side < 600 AND y0 > 200 AND y0 + side < 600 AS whole FROM boxes) SELECT p_partkey, round(CASE WHEN whole THEN 0 ELSE inside END, 4) AS length FROM p""")
+def polygon_lines_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Outlines of squares that cross a window, within it; squares inside stay polygons."""
+    return _squares(spark, sf).select("p_partkey", F.round(spatial.length(spatial.lineclip(F.col("geom"), _WINDOW)), 4).alias("length"))
+
+
+def _ring_on_globe(lon: float, lat: float, metres: float) -> str:
+    """SQL of the area, in square degrees, of the 360 corners that a disc on the globe is drawn with."""
+    c = metres / 6378137
+    return f"""v AS (SELECT k, degrees(asin(cos({c!r}) * sin(radians({lat!r})) + sin(2 * pi() * k / 360) * sin({c!r}) * cos(radians({lat!r})))) AS y, {lon!r} + degrees(atan2(cos(2 * pi() * k / 360) * sin({c!r}), cos({c!r}) * cos(radians({lat!r})) - sin(2 * pi() * k / 360) * sin({c!r}) * sin(radians({lat!r})))) AS x FROM (SELECT unnest(range(0, 361)) AS k)),
+w AS (SELECT x, y, lead(x) OVER (ORDER BY k) AS x2, lead(y) OVER (ORDER BY k) AS y2 FROM v), a AS (SELECT abs(sum(x * y2 - x2 * y)) / 2 AS area FROM w WHERE x2 IS NOT NULL)"""
+
+
+def _supplier_geometry(spark: SparkSession, sf: str, **parts) -> DataFrame:
+    return table(spark, sf, "supplier").select("s_suppkey", schema.geometry(**parts).alias("geom"))
+
+
+@query("WITH " + _ring_on_globe(25.0, 20.0, 2e6) + " SELECT s_suppkey, round(CASE WHEN s_suppkey % 2 = 0 THEN area ELSE 0 END, 6) AS area FROM supplier, a")
 def polyclip_sphere(spark: SparkSession, sf: str) -> DataFrame:
-    cut = spatial.polyclip(F.col("geom"), Sphere(25, 60, 2e6))
-    return _star_geometries(spark, sf).select("vec_id", F.round(spatial.area(cut), 4).alias("area")).where("area > 0")
+    """Squares that hold a disc on the globe, or lie apart from it."""
+    corner = F.when(F.col("s_suppkey") % 2 == 0, -15.0 - F.col("s_suppkey") % 7).otherwise(F.lit(-150.0))
+    rows = _supplier_geometry(spark, sf, polys=F.array(F.array(square(corner, F.lit(-20.0), F.when(F.col("s_suppkey") % 2 == 0, F.lit(85.0)).otherwise(F.lit(20.0))))))
+    return rows.select("s_suppkey", F.round(spatial.area(spatial.polyclip(F.col("geom"), Sphere(25, 20, 2e6))), 6).alias("area"))
 
 
-@query()
+@query("WITH " + _ring_on_globe(25.0, 20.0, 2e6) + " SELECT s_suppkey, round(85 * 85 - area, 6) AS area FROM supplier, a")
+def polycut_sphere(spark: SparkSession, sf: str) -> DataFrame:
+    """Squares with a disc on the globe taken out of them."""
+    rows = _supplier_geometry(spark, sf, polys=F.array(F.array(square(-15.0 - F.col("s_suppkey") % 7, F.lit(-20.0), F.lit(85.0)))))
+    return rows.select("s_suppkey", F.round(spatial.area(spatial.polycut(F.col("geom"), Sphere(25, 20, 2e6))), 6).alias("area"))
+
+
+def _meridians(spark: SparkSession, sf: str) -> DataFrame:
+    south = -(F.col("s_suppkey") % 50).cast("double")
+    return _supplier_geometry(spark, sf, lines=F.array(F.array(schema.point(F.lit(25.0), south), schema.point(F.lit(25.0), F.lit(60.0)))))
+
+
+@query("SELECT s_suppkey, round(2 * degrees(CAST(1000000 AS DOUBLE) / 6378137), 6) AS inside, round(60 + s_suppkey % 50 - 2 * degrees(CAST(1000000 AS DOUBLE) / 6378137), 6) AS outside FROM supplier")
+def lines_sphere(spark: SparkSession, sf: str) -> DataFrame:
+    """Meridians within and without a disc on the globe around a place on them."""
+    disc = Sphere(25, 20, 1e6)
+    return _meridians(spark, sf).select("s_suppkey", F.round(spatial.length(spatial.lineclip(F.col("geom"), disc)), 6).alias("inside"), F.round(spatial.length(spatial.linecut(F.col("geom"), disc)), 6).alias("outside"))
+
+
+def _rows_of_lines(spark: SparkSession, sf: str) -> DataFrame:
+    y = (F.col("s_suppkey") % 75).cast("double")
+    return _supplier_geometry(spark, sf, lines=F.array(F.array(schema.point(F.lit(-100.0), y), schema.point(F.lit(100.0), y))))
+
+
+_CHORD = "CASE WHEN s_suppkey % 75 < 60 THEN 2 * sqrt(3600 - pow(s_suppkey % 75, 2)) ELSE 0 END"
+
+
+@query(f"SELECT s_suppkey, round({_CHORD}, 6) AS length FROM supplier")
 def lineclip_circle(spark: SparkSession, sf: str) -> DataFrame:
-    return _star_geometries(spark, sf).select("vec_id", F.round(spatial.length(spatial.lineclip(F.col("geom"), Circle(0, 0, 60))), 4).alias("length"))
+    return _rows_of_lines(spark, sf).select("s_suppkey", F.round(spatial.length(spatial.lineclip(F.col("geom"), Circle(0, 0, 60))), 6).alias("length"))
 
 
-@query()
+@query(f"SELECT s_suppkey, round(200 - {_CHORD}, 6) AS length FROM supplier")
 def linecut_circle(spark: SparkSession, sf: str) -> DataFrame:
-    return _star_geometries(spark, sf).select("vec_id", F.round(spatial.length(spatial.linecut(F.col("geom"), Circle(0, 0, 60))), 4).alias("length"))
+    return _rows_of_lines(spark, sf).select("s_suppkey", F.round(spatial.length(spatial.linecut(F.col("geom"), Circle(0, 0, 60))), 6).alias("length"))
+
+
+@query("SELECT s_suppkey, round(CASE WHEN s_suppkey % 2 = 0 THEN 180 * sin(radians(CAST(1 AS DOUBLE))) * 3600 ELSE 0 END, 4) AS area FROM supplier")
+def polyclip_circle(spark: SparkSession, sf: str) -> DataFrame:
+    """Squares that hold a circle, drawn with a corner for each degree, or lie apart from it."""
+    side = F.when(F.col("s_suppkey") % 2 == 0, F.lit(200.0)).otherwise(F.lit(20.0))
+    corner = F.when(F.col("s_suppkey") % 2 == 0, F.lit(-100.0)).otherwise(F.lit(70.0))
+    rows = _supplier_geometry(spark, sf, polys=F.array(F.array(square(corner, corner, side))))
+    return rows.select("s_suppkey", F.round(spatial.area(spatial.polyclip(F.col("geom"), Circle(0, 0, 60))), 4).alias("area"))
 
 
 @query()
@@ -107,22 +165,58 @@ def simplify_vw(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.simplify(rings, 0.2, "vec_id", shared=False).select("vec_id", F.size("points").alias("vertices"))
 
 
-@query()
+@query(with_("tiles") + "SELECT n_nationkey, CAST(CASE WHEN (x0 IN (-180, 108)) <> (y0 IN (-85, 51)) THEN 4 ELSE 5 END AS INT) AS vertices FROM tiles")
+def simplify_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles with a vertex amid each side, simplified without bound: what four tiles or one have stays, what two have may go."""
+    x0, y0 = F.col("x0"), F.col("y0")
+    at = lambda dx, dy: schema.point(x0 + float(dx), y0 + float(dy))
+    ring = F.array(*[at(*p) for p in ((0, 0), (36, 0), (72, 0), (72, 17), (72, 34), (36, 34), (0, 34), (0, 17), (0, 0))])
+    rings = tiles(spark, sf).select("n_nationkey", ring.alias("points"))
+    return spatial.simplify(rings, 1e9, "n_nationkey").select("n_nationkey", F.size("points").alias("vertices"))
+
+
+_CORNERS, _REACH = 24, 3.9
+_C = "(20 * sin(pi() / 24))"
+_F1 = f"exp(-pow({_C} / {_REACH}, 2) / 4.5)"
+_S1 = f"(1 + 0.5 * ((1 + 2 * {_F1} * cos(pi() / 12)) / (1 + 2 * {_F1}) - 1))"
+_F2 = f"exp(-pow({_C} * {_S1} / {_REACH}, 2) / 4.5)"
+_S2 = f"(1 - CAST(0.53 AS DOUBLE) * ((1 + 2 * {_F2} * cos(pi() / 12)) / (1 + 2 * {_F2}) - 1))"
+
+
+def _wheels(scale: str) -> str:
+    """Suppliers' regular polygons; those that stand twice shrink by a scale, as their sides are shared."""
+    return f"SELECT s_suppkey, CAST(copy AS INT) AS copy, CAST(25 AS INT) AS vertices, round(12 * sin(pi() / 12) * pow(10 * CASE WHEN s_suppkey % 2 = 0 THEN {scale} ELSE 1 END, 2), 5) AS area FROM supplier, (SELECT unnest([0, 1]) AS copy) WHERE copy = 0 OR s_suppkey % 2 = 0"
+
+
+@query(_wheels("(1 + 2 * cos(pi() / 12)) / 3"))
 def smooth_average(spark: SparkSession, sf: str) -> DataFrame:
     return _smoothed(spark, sf, "average")
 
 
-@query()
+@query(_wheels(f"{_S1} * {_S2}"))
 def smooth_taubin(spark: SparkSession, sf: str) -> DataFrame:
     return _smoothed(spark, sf, "taubin")
 
 
 def _smoothed(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """One pass over regular polygons with neighbours on either side in reach. Every second one stands twice; the others' vertices are their own, and stay."""
     from geolith.functions.metrics import area_planar
 
-    rings = stars(spark, sf).select("vec_id", F.col("ring").alias("points"))
-    out = spatial.smooth(rings, kind, 1.0, 2, "vec_id", shared=False)
-    return out.select("vec_id", F.size("points").alias("vertices"), F.round(area_planar(F.col("points")), 6).alias("area"))
+    angle = lambda k: k.cast("double") * (2 * math.pi / _CORNERS)
+    open_ = F.transform(F.sequence(F.lit(0), F.lit(_CORNERS - 1)), lambda k: schema.point(F.col("cx") + 10.0 * F.cos(angle(k)), F.col("cy") + 10.0 * F.sin(angle(k))))
+    rows = circles(spark, sf).select("s_suppkey", open_.alias("open"), F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    rings = rows.select("s_suppkey", "copy", F.concat("open", F.slice("open", 1, 1)).alias("points"))
+    out = spatial.smooth(rings, kind, _REACH, 1, "s_suppkey", "copy")
+    return out.select("s_suppkey", "copy", F.size("points").alias("vertices"), F.round(area_planar(F.col("points")), 5).alias("area"))
+
+
+@query("SELECT s_suppkey, CAST(5 AS INT) AS vertices, round(CAST(16 AS DOUBLE), 6) AS area FROM supplier")
+def collinear_drop(spark: SparkSession, sf: str) -> DataFrame:
+    """Squares with vertices along their sides, without them."""
+    k = (F.col("s_suppkey") % 50).cast("double")
+    ring = F.array(*[schema.point(k + float(x), F.lit(float(y))) for x, y in ((0, 0), (1, 0), (3, 0), (4, 0), (4, 2), (4, 4), (2, 4), (0, 4), (0, 1), (0, 0))])
+    out = _supplier_geometry(spark, sf, polys=F.array(F.array(ring))).select("s_suppkey", spatial.straight(F.col("geom")).alias("g"))
+    return out.select("s_suppkey", F.size(F.get(F.get("g.polys", F.lit(0)), F.lit(0))).alias("vertices"), F.round(spatial.area(F.col("g")), 6).alias("area"))
 
 
 @query()
@@ -132,23 +226,34 @@ def amalgamate(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select(F.round("area", 4).alias("area"), F.size("polygon").alias("rings"))
 
 
-def _merc(lon: float, lat: float) -> tuple[float, float]:
-    if abs(lat) >= 89.9999:
-        return math.nan, math.nan
-    return 6378137.0 * math.radians(lon), 6378137.0 * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
+@query("SELECT round(CASE WHEN s_suppkey % 3 = 0 THEN CAST(4.84 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, 4) AS area, CAST(1 AS INT) AS rings FROM supplier, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE s_suppkey % 3 = 1 OR (s_suppkey % 3 = 0 AND k = 0)")
+def amalgamate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Four squares to a supplier: a fifth of a side apart they become one, further apart they stay, and four quarters are too small together."""
+    kind = F.col("s_suppkey") % 3
+    gap, side = F.when(kind == 0, 0.2).otherwise(2.0), F.when(kind == 2, 0.25).otherwise(1.0)
+    rows = table(spark, sf, "supplier").select("s_suppkey", gap.alias("gap"), side.alias("side"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    x, y = F.col("s_suppkey") * 10.0 + F.col("k") % 2 * (F.col("side") + F.col("gap")), F.floor(F.col("k") / 2) * (F.col("side") + F.col("gap"))
+    polygons = rows.select((F.col("s_suppkey") * 4 + F.col("k")).alias("key"), F.array(square(x, y, F.col("side"))).alias("polygon"))
+    joined = spatial.amalgamate(polygons, "key", 0.3, 0.9)
+    return joined.select(F.round("area", 4).alias("area"), F.size("polygon").alias("rings"))
 
 
-@query()
-def interrupt_cut_project(spark: SparkSession, sf: str) -> DataFrame:
-    """Stars through Mercator within bounds, cut at the antimeridian first."""
-    seams = project.interrupt("+proj=merc +lon_0=0")
+_E = (2 / 298.257223563 - 1 / 298.257223563**2) ** 0.5
+_Y = "6378137 * ((ln((1 + sin(radians({0}))) / (1 - sin(radians({0})))) / 2) - " + f"CAST({_E / 2!r} AS DOUBLE) * ln((1 + CAST({_E!r} AS DOUBLE) * sin(radians({{0}}))) / (1 - CAST({_E!r} AS DOUBLE) * sin(radians({{0}})))))"
 
-    def run(geom):
-        cut = project.interrupted(geom, seams)
-        return None if cut is None else project.project(cut, _merc, (-2e7, -1.5e7, 2e7, 1.5e7))
 
-    moved = _star_geometries(spark, sf).select("vec_id", spatial.mapped(run)(F.col("geom")).alias("geom")).where("geom is not null")
-    return moved.select("vec_id", schema.geometry_type(F.col("geom")).alias("type"), F.round(spatial.area(F.col("geom")) / 1e10, 3).alias("area"))
+def _tile_geometries(spark: SparkSession, sf: str) -> DataFrame:
+    x0, y0 = F.col("x0"), F.col("y0")
+    ring = F.array(*[schema.point(x0 + float(dx), y0 + float(dy)) for dx, dy in ((0, 0), (72, 0), (72, 34), (0, 34), (0, 0))])
+    return tiles(spark, sf).select("n_nationkey", schema.geometry(polys=F.array(F.array(ring))).alias("geom"))
+
+
+@query(with_("tiles") + f"SELECT n_nationkey, CASE WHEN x0 = -180 THEN 'MULTIPOLYGON' ELSE 'POLYGON' END AS type, round(radians(72 - CASE WHEN x0 = -180 THEN CAST(0.000002 AS DOUBLE) ELSE 0 END) * 6378137 * (least({_Y.format('(y0 + 34)')}, 15000000) - greatest({_Y.format('y0')}, -15000000)) / 10000000000, 3) AS area FROM tiles")
+def interrupt_cut_project(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles through Mercator around 10 degrees within bounds, cut at its seam first."""
+    moved = spatial.transform(F.col("geom"), "+proj=merc +lon_0=10", (-2.1e7, -1.5e7, 2.1e7, 1.5e7))
+    out = _tile_geometries(spark, sf).select("n_nationkey", moved.alias("geom")).where("geom is not null")
+    return out.select("n_nationkey", schema.geometry_type(F.col("geom")).alias("type"), F.round(spatial.area(F.col("geom")) / 1e10, 3).alias("area"))
 
 
 @query(with_("tiles") + "SELECT n_nationkey, 'POLYGON ((' || a || ' ' || b || ',' || c || ' ' || b || ',' || c || ' ' || d || ',' || a || ' ' || d || ',' || a || ' ' || b || '))' AS wkt FROM (SELECT n_nationkey, CAST(CAST(x0 AS INT) AS VARCHAR) AS a, CAST(CAST(y0 AS INT) AS VARCHAR) AS b, CAST(CAST(x0 + 72 AS INT) AS VARCHAR) AS c, CAST(CAST(y0 + 34 AS INT) AS VARCHAR) AS d FROM tiles)")
@@ -185,22 +290,47 @@ def overlay_intersection(spark: SparkSession, sf: str) -> DataFrame:
     return _squares(spark, sf).select("p_partkey", F.round(spatial.area(spatial.overlay(F.col("geom"), window, "intersection")), 4).alias("area"))
 
 
-@query()
+@query(with_("tiles") + "SELECT n_nationkey, round(CAST(6378137 AS DOUBLE) * 6378137 * cos(radians(CAST(30 AS DOUBLE))) * radians(72 - CASE WHEN x0 IN (-180, 108) THEN CAST(0.000001 AS DOUBLE) ELSE 0 END) * radians(CAST(34 AS DOUBLE)) / 1000000000, 2) AS area FROM tiles")
 def transform_geometry(spark: SparkSession, sf: str) -> DataFrame:
-    """Stars in an equal-area view of Europe, within its bounds."""
-    moved = spatial.transform(F.col("geom"), "+proj=laea +lat_0=52 +lon_0=10", (-4e6, -4e6, 4e6, 4e6))
-    return _star_geometries(spark, sf).select("vec_id", moved.alias("geom")).where("geom is not null").select("vec_id", F.round(spatial.area(F.col("geom")) / 1e9, 2).alias("area"))
+    """Tiles in a plain cylinder, without its seam."""
+    moved = spatial.transform(F.col("geom"), "+proj=eqc +lat_ts=30", (-2.1e7, -1.1e7, 2.1e7, 1.1e7))
+    return _tile_geometries(spark, sf).select("n_nationkey", moved.alias("geom")).where("geom is not null").select("n_nationkey", F.round(spatial.area(F.col("geom")) / 1e9, 2).alias("area"))
+
+
+@query("SELECT s_suppkey, round(CAST(6378137 AS DOUBLE) * 6378137 * radians(CAST(20 AS DOUBLE)) * radians(CAST(1 + s_suppkey % 60 AS DOUBLE)) / 1000000, 3) AS exact, round(CAST(6378137 AS DOUBLE) * 6378137 * radians(CAST(20 AS DOUBLE)) * radians(CAST(1 + s_suppkey % 60 AS DOUBLE)) / 1000000, 3) AS cut FROM supplier")
+def transform_between(spark: SparkSession, sf: str) -> DataFrame:
+    """Rectangles of world Mercator in a plain cylinder: in expressions, and as geometry of a projected source."""
+    from geolith.functions.projections import forward
+
+    x, y = forward("+proj=merc")(F.lit(20.0), (1 + F.col("s_suppkey") % 60).cast("double"))
+    at = lambda a, b: schema.point(a, b)
+    zero = F.lit(0.0)
+    rows = table(spark, sf, "supplier").select("s_suppkey", schema.geometry(polys=F.array(F.array(F.array(at(zero, zero), at(x, zero), at(x, y), at(zero, y), at(zero, zero))))).alias("geom"))
+    moved = spatial.projected(F.col("geom"), "+proj=eqc", "+proj=merc")
+    kept = spatial.transform(F.col("geom"), "+proj=eqc", (-3e7, -3e7, 3e7, 3e7), source="+proj=merc")
+    return rows.select("s_suppkey", F.round(spatial.area(moved) / 1e6, 3).alias("exact"), F.round(spatial.area(kept) / 1e6, 3).alias("cut"))
+
+
+@query("SELECT c_custkey, c_name, round(CAST(6378137 AS DOUBLE) * radians(CAST(c_custkey % 170 AS DOUBLE)) / 1000, 3) AS x, round(CAST(6378137 AS DOUBLE) * ln(tan(pi() / 4 + radians(CAST(c_custkey % 80 AS DOUBLE)) / 2)) / 1000, 3) + 0 AS y FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0")
+def feature_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """A filtered scan with its geometry, projected as it is read."""
+    from geolith.sources.features import read_features
+
+    layer = table(spark, sf, "customer").withColumn("geom", schema.geometry(points=F.array(schema.point((F.col("c_custkey") % 170).cast("double"), (F.col("c_custkey") % 80).cast("double")))))
+    got = read_features(layer, ["c_custkey", "c_name"], "c_nationkey = 7 AND c_acctbal > 0", geom="geom", projection="+proj=webmerc")
+    place = F.get("geom.points", F.lit(0))
+    return got.select("c_custkey", "c_name", *[(F.round(place[n] / 1000, 3) + F.lit(0.0)).alias(n) for n in "xy"])
 
 
 @query()
 def expand_geometry(spark: SparkSession, sf: str) -> DataFrame:
-    """Trajectory-like lines widened by metres."""
+    """Lines widened by metres."""
     rows = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 100 - 50).cast("double").alias("x"))
     line = F.array(schema.point(F.col("x"), F.lit(0.0)), schema.point(F.col("x") + 1.0, F.lit(0.0)), schema.point(F.col("x") + 1.0, F.lit(1.0)))
     return rows.select("s_suppkey", F.round(spatial.area(spatial.expand(schema.geometry(lines=F.array(line)), 10_000.0)), 6).alias("area"))
 
 
-@query("SELECT unnest([4326, 4258, 3857, 3395, 3035, 4087, 32661]) AS srid, unnest([true, true, false, false, false, false, false]) AS is_geographic")
+@query("SELECT unnest([4326, 4258, 3857, 3395, 3035, 3067, 4087, 32661, 32761]) AS srid, unnest([true, true, false, false, false, false, false, false, false]) AS is_geographic UNION ALL SELECT 32600 + z, false FROM (SELECT unnest(range(1, 61)) AS z) UNION ALL SELECT 32700 + z, false FROM (SELECT unnest(range(1, 61)) AS z)")
 def crs_table(spark: SparkSession, sf: str) -> DataFrame:
     from geolith.functions import crs
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql import Window as W
 
 from geolith.functions import metrics, position
 from geolith.operators import grid, joins, raster, sequences
@@ -54,21 +53,6 @@ def cluster_having_area(spark: SparkSession, sf: str) -> DataFrame:
     return named.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.round(F.sum("area"), 4).alias("area"), F.sum("area").alias("whole")).where("whole >= 40").drop("whole")
 
 
-@query("SELECT r.r_regionkey, arg_max(c_name, {'a': a, 'b': -k}) AS widest, max(a) AS area FROM (SELECT n.n_regionkey, c.c_name, c.c_custkey AS k, max(o_totalprice) AS a FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE o.o_orderkey % 3 <> 0 GROUP BY ALL) t JOIN region r ON r.r_regionkey = t.n_regionkey GROUP BY r.r_regionkey")
-def epsg_join_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    """Three inner joins with constant filters and the largest row of each group, as the extents of reference systems are chosen."""
-    c, o, n, r = (table(spark, sf, t) for t in ("customer", "orders", "nation", "region"))
-    extents = o.where("o_orderkey % 3 <> 0").groupBy("o_custkey").agg(F.max("o_totalprice").alias("a"))
-    joined = c.join(extents, c["c_custkey"] == extents["o_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
-    return joined.groupBy("r_regionkey").agg(F.max_by("c_name", F.struct("a", -F.col("c_custkey"))).alias("widest"), F.max("a").alias("area"))
-
-
-@query("SELECT n_nationkey, known FROM (SELECT n_nationkey, n_nationkey IN (SELECT s_nationkey FROM supplier) AS known FROM nation) WHERE known")
-def crs_known_semi(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows whose code is known: a semi join."""
-    return table(spark, sf, "nation").join(table(spark, sf, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_nationkey", F.lit(True).alias("known"))
-
-
 @query("WITH " + SQL["boxes"] + """, inner_ AS (SELECT p_partkey AS hole, x0 + side / 2 AS x, y0 + side / 2 AS y FROM boxes),
 outer_ AS (SELECT p_partkey AS ext, x0 - 20 AS w, x0 + side + 20 AS e, y0 - 20 AS s, y0 + side + 20 AS n, (side + 40) * (side + 40) AS area FROM boxes)
 SELECT hole, arg_min(ext, {'a': area, 'k': ext}) AS ext FROM inner_ JOIN outer_ ON x >= w AND x < e AND y >= s AND y < n GROUP BY hole""")
@@ -93,9 +77,9 @@ def vertex_counts(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.vertex_counts(vertex_table(_corner_grid(spark, sf), "n_nationkey", "polygon"), "n_nationkey")
 
 
-@query(with_("tiles") + ", c AS (SELECT DISTINCT x0 + 72 * dx AS x, y0 + 34 * dy AS y FROM tiles, (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) v(dx, dy)) SELECT x, y, CAST(dense_rank() OVER (ORDER BY x, y) AS INT) AS vertex FROM c")
+@query(with_("tiles") + ", c AS (SELECT DISTINCT x0 + 72 * dx AS x, y0 + 34 * dy AS y FROM tiles, (VALUES (0, 0), (1, 0), (1, 1), (0, 1)) v(dx, dy)) SELECT x, y, CAST(dense_rank() OVER (ORDER BY x, y) AS BIGINT) AS vertex FROM c")
 def vertex_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return vertex_table(_corner_grid(spark, sf), "n_nationkey", "polygon").dropDuplicates(["x", "y"]).select("x", "y", F.dense_rank().over(W.orderBy("x", "y")).alias("vertex"))
+    return sequences.vertex_ids(vertex_table(_corner_grid(spark, sf), "n_nationkey", "polygon"))
 
 
 @query(with_("tiles") + """, e AS (SELECT x0 + 72 * ax AS x1, y0 + 34 * ay AS y1, x0 + 72 * bx AS x2, y0 + 34 * by_ AS y2 FROM tiles, (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)) v(ax, ay, bx, by_))
@@ -120,6 +104,16 @@ def jump_split_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.groupBy("user_id", F.col("run").cast("long").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.min("idx").cast("long").alias("first"), F.max("idx").cast("long").alias("last"))
 
 
+@query("WITH " + SQL["traj"] + """, s AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) > 120, false) AS jump FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+r AS (SELECT *, sum(CAST(jump AS INT)) OVER (PARTITION BY user_id ORDER BY idx) AS run FROM s),
+m AS (SELECT user_id, max(run) AS last, sqrt(pow(arg_min(x, idx) - arg_max(x, idx), 2) + pow(arg_min(y, idx) - arg_max(y, idx), 2)) <= 120 AS meets FROM r GROUP BY user_id)
+SELECT r.user_id, CAST(CASE WHEN meets AND run = last THEN 0 ELSE run END AS BIGINT) AS run, CAST(count(*) AS BIGINT) AS n FROM r JOIN m ON r.user_id = m.user_id GROUP BY ALL""")
+def jump_split_cyclic(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of rings: the last one goes on in the first."""
+    runs = sequences.split_runs(trajectories(spark, sf), "user_id", 120.0, cyclic=True)
+    return runs.groupBy("user_id", F.col("run").cast("long").alias("run")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("WITH " + SQL["verts"] + ", " + SQL["edges"] + """, d AS (SELECT *, sqrt(pow((x2 - x1) * 111320 * cos(radians((y1 + y2) / 2)), 2) + pow((y2 - y1) * 111320, 2)) AS m FROM edges),
 s AS (SELECT *, greatest(1, CAST(ceil(round(m / 50000, 9)) AS BIGINT)) AS n FROM d), k AS (SELECT *, unnest(range(0, n)) AS k FROM s)
 SELECT vec_id, CAST(count(*) AS BIGINT) AS n, round(sum(x1 + k / CAST(n AS DOUBLE) * (x2 - x1)), 4) AS sx, round(sum(y1 + k / CAST(n AS DOUBLE) * (y2 - y1)), 4) AS sy FROM k GROUP BY vec_id""")
@@ -142,6 +136,11 @@ def duplicate_vertices(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.without_repeats(coarse, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("WITH " + SQL["traj"] + ", t AS (SELECT user_id, idx, trunc(x / 50) AS x, trunc(y / 50) AS y FROM traj), l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM t WINDOW w AS (PARTITION BY user_id ORDER BY idx)) SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM l WHERE px IS NULL OR px <> x OR py <> y GROUP BY user_id")
+def duplicate_vertices_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences.without_repeats(trajectories(spark, sf), "user_id", grid=50.0).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 _W = "WITH " + SQL["traj"] + """, s AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM traj WINDOW w AS (PARTITION BY user_id ORDER BY idx))
 SELECT user_id, idx, round(CASE WHEN step >= 100 THEN 0 ELSE 1 END, 6) AS average, round(CASE WHEN step >= 100 THEN 0 ELSE (100 - step) / 100 END, 6) AS linear, round(CASE WHEN step >= 100 THEN 0 ELSE exp(-(step * step) / (2 * 150 * 150)) END, 6) AS gaussian, round(CASE WHEN step >= 100 THEN 0 ELSE pow(1 - pow(step / 100, 2), 2) END, 6) AS tukey FROM s"""
 
