@@ -100,6 +100,23 @@ def test_amalgamate(spark):
     got = spatial.amalgamate(df, "k", 0.3, 2.0, mainland=20.0).collect()
     assert sorted(round(r["area"], 4) for r in got) == [25.0, 96.04]
     assert spatial.amalgamate(df, "k", 0.0, 2.0).count() == 1
+    assert spatial.amalgamate(df, "k", 0.3, 0.0, least_total=70.0).count() == 0
+    bay = [(0, 0), (3, 0), (3, 3), (1.6, 3), (1.6, 1), (1.4, 1), (1.4, 3), (0, 3), (0, 0)]
+    one = spark.createDataFrame([(1, [[(float(x), float(y)) for x, y in bay]])], "k long, polygon array<array<struct<x double, y double>>>")
+    assert spatial.amalgamate(one, "k", 0.3, mainland=1.0).first()["area"] == pytest.approx(8.6)
+    assert spatial.amalgamate(one, "k", 0.3, mainland=1.0, close_bays=True).first()["area"] == pytest.approx(9, abs=0.01)
+
+
+def test_boxes_of_any_size_meet(spark):
+    """Boxes from a thousandth of a cell to a thousand cells, against all pairs."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.uniform(0, 900), rng.uniform(0, 900), 10 ** rng.uniform(-2, 3), 10 ** rng.uniform(-2, 3)) for k in range(150)]
+    df = spark.createDataFrame(rows, "k long, x double, y double, w double, h double").selectExpr("k", "struct(x AS west, x + w AS east, y AS south, y + h AS north) AS box")
+    got = joins.boxes_within(df, df, 1.5, 4.0).where("k < other_k").select("k", "other_k").collect()
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] - 1.5 <= b[1] + b[3] and a[1] + a[3] + 1.5 >= b[1] and a[2] - 1.5 <= b[2] + b[4] and a[2] + a[4] + 1.5 >= b[2]}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_amalgamate_query_joins_across_a_gap_of_8(spark):
@@ -160,6 +177,20 @@ def test_shorelines(spark, tmp_path, order):
     assert [r["id"] for r in gshhs.read(spark, str(tmp_path), window=(5.0, 15.0, -1.0, 1.0)).collect()] == [2]
 
 
+def test_points_of_unwanted_shorelines_are_stepped_over(monkeypatch):
+    """Headers alone decide: the points of records that fail them are never decoded."""
+    good = shoreline("<", [(k, 1 + k % 4, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], 10.0 * k) for k in range(12)])
+    read, decode = [], np.frombuffer
+
+    def counted(data, dtype, *a, **k):
+        read.append(dtype)
+        return decode(data, dtype, *a, **k)
+
+    monkeypatch.setattr(gshhs.np, "frombuffer", counted)
+    got = [r[0] for r in gshhs.parse(good, gshhs.Wanted(most_level=1, least_island=50.0))]
+    assert got == [8] and len(read) == 1
+
+
 def test_broken_shorelines():
     good = shoreline("<", [(1, 1, [(0.0, 0.0), (1.0, 1.0)], 1.0)])
     with pytest.raises(ValueError):
