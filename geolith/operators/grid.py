@@ -34,6 +34,15 @@ def bilinear(points: DataFrame, grid: DataFrame, nx: int, ny: int, x1: float, y1
     return out.select(*points.columns, mix("a").alias("px"), mix("b").alias("py"))
 
 
+def projected(grid: DataFrame, projection: str, source: str | None = None) -> DataFrame:
+    """A grid with its places in a projection, from longitude and latitude or another system; places it cannot show are null."""
+    from geolith.functions import projections
+
+    to = projections.forward(projection) if source is None else projections.between(source, projection)
+    x, y = to(F.col("x"), F.col("y"))
+    return grid.select("i", "j", x.alias("x"), y.alias("y"))
+
+
 def cell_quality(grid: DataFrame) -> DataFrame:
     """i, j and quality of every cell: invalid, pole, huge, oblong, clockwise, counterclockwise or notconvex."""
     at = lambda di, dj, k: grid.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))

@@ -290,6 +290,13 @@ def overlay_intersection(spark: SparkSession, sf: str) -> DataFrame:
     return _squares(spark, sf).select("p_partkey", F.round(spatial.area(spatial.overlay(F.col("geom"), window, "intersection")), 4).alias("area"))
 
 
+@query(_WIDE + f"SELECT p_partkey, round(side * side - {_OVERLAP}, 4) AS apart, round(CASE WHEN side > 0 THEN 160000 + side * side - {_OVERLAP} ELSE 160000 END, 4) AS together FROM boxes")
+def overlay_difference_union(spark: SparkSession, sf: str) -> DataFrame:
+    window = [[_WINDOW.ring()]]
+    of = lambda how: F.round(spatial.area(spatial.overlay(F.col("geom"), window, how)), 4)
+    return _squares(spark, sf).select("p_partkey", of("difference").alias("apart"), of("union").alias("together"))
+
+
 @query(with_("tiles") + "SELECT n_nationkey, round(CAST(6378137 AS DOUBLE) * 6378137 * cos(radians(CAST(30 AS DOUBLE))) * radians(72 - CASE WHEN x0 IN (-180, 108) THEN CAST(0.000001 AS DOUBLE) ELSE 0 END) * radians(CAST(34 AS DOUBLE)) / 1000000000, 2) AS area FROM tiles")
 def transform_geometry(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles in a plain cylinder, without its seam."""

@@ -187,6 +187,12 @@ def grid_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({n: F.round(F.col(n), 6) for n in ("px", "py")})
 
 
+@query(f"SELECT i, j, round(CAST(6378137 AS DOUBLE) * radians(x) / 1000, 3) + 0 AS x, round(CAST(6378137 AS DOUBLE) * ln(tan(pi() / 4 + radians(y) / 2)) / 1000, 3) + 0 AS y FROM ({_GRID})")
+def grid_projected(spark: SparkSession, sf: str) -> DataFrame:
+    out = grid.projected(_grid(spark), "+proj=webmerc")
+    return out.select("i", "j", *[(F.round(F.col(n) / 1000, 3) + F.lit(0.0)).alias(n) for n in "xy"])
+
+
 @query(f"WITH g AS ({_GRID}) SELECT i, j, CASE WHEN i % 7 = 3 THEN 'oblong' WHEN j >= 20 THEN 'clockwise' ELSE 'counterclockwise' END AS quality FROM g WHERE i < 36 AND j < 34")
 def grid_cell_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of a bent grid: squeezed columns, and rows that run the other way from the twentieth on."""

@@ -576,3 +576,29 @@ def figure_eight(spark: SparkSession, sf: str) -> DataFrame:
     ring = F.array(*[at(*p) for p in ((0, 0), (1, 0), (1, 1), (3, 1), (3, 3), (1, 3), (1, 1), (0, 1), (0, 0))])
     out = table(spark, sf, "supplier").select("s_suppkey", spatial.simple(geometry(polys=F.array(F.array(ring)))).alias("g"))
     return out.select("s_suppkey", F.size("g.polys").alias("rings"), F.round(spatial.area(F.col("g")), 6).alias("area"))
+
+
+@query(f"WITH {_SEEDS} SELECT srid, 'EPSG:' || srid || ' ' || name || printf(' [%.2f,%.2f,%.2f,%.2f]', west, south, east, north) AS said FROM system JOIN used USING (srid) JOIN extent ON used.extent = extent.extent WHERE srid BETWEEN 32601 AND 32760 AND srid <> 32661")
+def crs_described(spark: SparkSession, sf: str) -> DataFrame:
+    """A line about each zone."""
+    rows = crs.table(spark).where("srid between 32601 and 32760 and srid <> 32661")
+    return rows.select("srid", crs.described(*map(F.col, ("srid", "name", "west", "east", "south", "north", "deprecated"))).alias("said"))
+
+
+@query(with_("circles") + "SELECT s_suppkey, 'M' || a || ' ' || b || ' ' || c || ' ' || d AS svg FROM (SELECT s_suppkey, " + ", ".join(f"CASE WHEN {t} = '-0' THEN '0' ELSE {t} END AS {n}" for n, t in ((n, f"regexp_replace(printf('%.1f', {e}), '\\.?0+$', '')") for n, e in (("a", "cx + CAST(0.013 AS DOUBLE)"), ("b", "cy + CAST(0.013 AS DOUBLE)"), ("c", "cx + CAST(0.013 AS DOUBLE) + r"), ("d", "cy + CAST(0.013 AS DOUBLE) - r")))) + " FROM circles)")
+def svg_line_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines without a viewport, in the usual decimals."""
+    cx, cy, r = F.col("cx") + 0.013, F.col("cy") + 0.013, F.col("r")
+    return circles(spark, sf).select("s_suppkey", text.svg_line(F.array(point(cx, cy), point(cx + r, cy - r))).alias("svg"))
+
+
+@query("SELECT CAST(count(*) AS INT) AS n, 'MULTIPOINT' AS type, round(sum(c_custkey % 170), 6) AS x FROM customer WHERE c_nationkey < 3 AND c_custkey % 5 > 0")
+def feature_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """All geometries of a filtered layer side by side in one; missing ones go."""
+    from geolith.schema import geometry_type
+    from geolith.sources.features import geometry_collection
+
+    place = geometry(points=F.array(point((F.col("c_custkey") % 170).cast("double"), F.lit(1.0))))
+    layer = table(spark, sf, "customer").withColumn("geom", F.when(F.col("c_custkey") % 5 > 0, place))
+    one = geometry_collection(layer, where="c_nationkey < 3")
+    return one.select(F.size("geom.points").alias("n"), geometry_type(F.col("geom")).alias("type"), F.round(F.aggregate("geom.points", F.lit(0.0), lambda a, p: a + p["x"]), 6).alias("x"))
