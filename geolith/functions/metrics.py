@@ -9,9 +9,15 @@ from pyspark.sql import Column, functions as F
 EARTH_RADIUS = 6378137.0
 
 
+def _pairs(ring: Column, term) -> Column:
+    """A term of every edge of a ring or line. The ring stands outside the lambda, so it is made once for all edges, however it is made."""
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), term)
+
+
 def _edges(ring: Column, term) -> Column:
     """Sum of a term over a ring's or line's edges."""
-    return F.aggregate(F.when(F.size(ring) > 1, F.sequence(F.lit(1), F.size(ring) - 1)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda acc, i: acc + term(F.get(ring, i - 1), F.get(ring, i)))
+    return F.aggregate(_pairs(ring, term), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def signed_area(ring: Column) -> Column:
@@ -110,8 +116,7 @@ def closed(ring: Column) -> Column:
 def in_ring(ring: Column, x: Column, y: Column) -> Column:
     """Whether a point lies in a closed ring: an odd number of edges crosses the ray to the east."""
     cross = lambda a, b: ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
-    odd = F.aggregate(F.sequence(F.lit(1), F.size(ring) - 1), F.lit(False), lambda acc, i: acc != cross(F.get(ring, i - 1), F.get(ring, i)))
-    return F.when(F.size(ring) > 1, odd).otherwise(F.lit(False))
+    return F.size(F.filter(_pairs(ring, cross), lambda hit: hit)) % 2 == 1
 
 
 def in_polygon(polygon: Column, x: Column, y: Column) -> Column:

@@ -59,7 +59,9 @@ def _svg(points: Column, box: Box | None, decimals: int, close: bool) -> Column:
         return F.concat_ws(" ", number(x, decimals), number(y, decimals))
 
     shown = F.transform(points, place)
-    fresh = F.filter(shown, lambda p, i: (i == 0) | (p != F.coalesce(F.get(shown, i - 1), F.lit(""))))
+    before = F.concat(F.array(F.lit("")), F.slice(shown, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0))))
+    both = F.zip_with(shown, before, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    fresh = F.transform(F.filter(both, lambda b: b["p"] != b["q"]), lambda b: b["p"])
     if close:
         fresh = F.when((F.size(fresh) > 1) & (F.get(fresh, F.lit(0)) == F.element_at(fresh, -1)), F.slice(fresh, F.lit(1), F.size(fresh) - 1)).otherwise(fresh)
     head, rest = F.get(fresh, F.lit(0)), F.array_join(F.slice(fresh, F.lit(2), F.size(fresh)), " ")
