@@ -57,7 +57,7 @@ FREQUENT_LEAST = 64
 #: Pairs of minimum hashes by which classes meet.
 ROUTES = 3
 _TURNS = mix(np.arange(1, 2 * ROUTES + 1, dtype=np.uint64)) | np.uint64(1)
-BLOCK = 512
+BLOCK = 256
 PAIR_BLOCK = 256
 BUCKETS = 1 << 20
 LARGEST_BITMAP = 1 << 14
@@ -373,7 +373,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     mins = [f"m{k}" for k in range(ROUTES)]
-    described = materialised(docs.mapInArrow(_describe(words_in_gram, percent), f"id {kind}, cid bigint, n bigint, " + "".join(f"{m} bigint, " for m in mins) + "gram bigint, times bigint"))
+    described = materialised(gathered(docs.mapInArrow(_describe(words_in_gram, percent), f"id {kind}, cid bigint, n bigint, " + "".join(f"{m} bigint, " for m in mins) + "gram bigint, times bigint")))
     own = described.where("times is null")
     classes = materialised(few(own.where("n > 0 and id is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in mins])))
 
