@@ -36,13 +36,13 @@ def materialised(df: DataFrame, compression: str | None = None, group_bytes: int
 
 
 def few(df: DataFrame) -> DataFrame:
-    """df in at most twice as many partitions as tasks run at once, for small tables: each file costs a process and a request. No shuffle; what is computed before runs in as many tasks."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """df in at most as many partitions as tasks run at once, for small tables: each file costs a process and a request. No shuffle; what is computed before runs in as many tasks."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def gathered(df: DataFrame) -> DataFrame:
     """The same by a shuffle of the rows, so that the work before it keeps its tasks."""
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def dropped(*tables: DataFrame | None) -> None:
