@@ -395,7 +395,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
 
     # round 1: blocks of classes that share minimum hashes
     routes = classes.select("cid", "rep", F.explode(F.array(*[F.xxhash64(F.lit(k), m) for k, m in enumerate(mins)])).alias("route"))
-    shared = materialised(few(routes.groupBy("route").agg(F.count(F.lit(1)).alias("size")).where("size > 1")))
+    shared = routes.groupBy("route").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = _only(routes, "route", shared, "route").join(shared.hint("merge"), "route")
     block = F.pmod(F.xxhash64("cid", "route"), F.ceil(F.col("size") / BLOCK))
     wanted = materialised(few(met.groupBy("cid", "rep").agg(F.collect_set(F.struct("route", block.alias("block"))).alias("meets"))))
@@ -406,9 +406,9 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
             if t.num_rows > 1:
                 yield _pairs_out(stars(t["cid"].to_numpy(), list(_groups(*_unpacked(t["text"].to_pylist()), words_in_gram)), percent))
 
-    links = materialised(gathered(blocks.repartition("route", "block").sortWithinPartitions("route", "block").mapInArrow(verify_blocks, "a bigint, b bigint")))
+    links = blocks.repartition("route", "block").sortWithinPartitions("route", "block").mapInArrow(verify_blocks, "a bigint, b bigint")
     roots = components(links)
-    dropped(shared, wanted)
+    dropped(wanted)
     release(spark)
 
     # round 2: classes that share enough of their prefixes with other components
@@ -479,8 +479,8 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
             bits = [bitmap(s, width_of(len(s), *SENT_BITS)).tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(bits, pa.binary())], names=["cid", "grams", "bits"])
 
-    several = materialised(few(able.select("cid", "rep").join(members.select("cid").distinct().hint("merge"), "cid", "left_semi")))
-    whole = materialised(texts_of(several).select("cid", "text").mapInArrow(describe_sets, "cid bigint, grams binary, bits binary"))
+    several = able.select("cid", "rep").join(members.select("cid").distinct().hint("merge"), "cid", "left_semi")
+    whole = materialised(few(texts_of(several).select("cid", "text").mapInArrow(describe_sets, "cid bigint, grams binary, bits binary")))
     met = met.join(whole.select("cid", "bits").hint("merge"), "cid")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,7 +511,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
     side = lambda k, grams: _only(whole.select(F.col("cid").alias(k), F.col("grams").alias(grams)), k, possible, k)
     both = possible.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
     more = materialised(gathered(both.mapInArrow(verify_pairs, "a bigint, b bigint")))
-    dropped(able, members, cells, several, whole, possible, rooted)
+    dropped(able, members, cells, whole, possible, rooted)
     if not more.isEmpty():
         first = roots
         roots = components(first.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
@@ -521,7 +521,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
     release(spark)
     least = materialised(few(rooted.groupBy("root").agg(F.min("rep").alias("component"))))  # written, so that the join splits a large component
     named = materialised(few(rooted.join(least.hint("merge"), "root").select("cid", "component")))
-    dropped(links, more, roots, classes, least)
+    dropped(more, roots, classes, least)
     out = own.join(named.hint("merge"), "cid", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id")), [described, named]
