@@ -395,7 +395,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
 
     # round 1: blocks of classes that share minimum hashes
     routes = classes.select("cid", "rep", F.explode(F.array(*[F.xxhash64(F.lit(k), m) for k, m in enumerate(mins)])).alias("route"))
-    shared = routes.groupBy("route").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialised(few(routes.groupBy("route").agg(F.count(F.lit(1)).alias("size")).where("size > 1")))  # written, so that the join splits a hot route
     met = _only(routes, "route", shared, "route").join(shared.hint("merge"), "route")
     block = F.pmod(F.xxhash64("cid", "route"), F.ceil(F.col("size") / BLOCK))
     wanted = materialised(few(met.groupBy("cid", "rep").agg(F.collect_set(F.struct("route", block.alias("block"))).alias("meets"))))
@@ -408,7 +408,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, words_in_gram: int, perce
 
     links = blocks.repartition("route", "block").sortWithinPartitions("route", "block").mapInArrow(verify_blocks, "a bigint, b bigint")
     roots = components(links)
-    dropped(wanted)
+    dropped(shared, wanted)
     release(spark)
 
     # round 2: classes that share enough of their prefixes with other components
