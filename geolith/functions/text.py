@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from geolith.functions.position import Box
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def number(value: Column, decimals: int) -> Column:
     """A number with at most so many decimals, without trailing zeros; never -0."""
-    text = F.format_string(f"%.{decimals}f", F.round(value, decimals).cast("double"))
-    if decimals:
-        text = F.regexp_replace(text, r"\.?0+$", "")
-    return F.when(text == "-0", F.lit("0")).otherwise(text)
+    text = F.format_string(f"%.{decimals}f", F.round(value, decimals).cast("double") + F.lit(0.0))  # -0 + 0 is 0
+    return F.regexp_replace(text, r"\.?0+$", "") if decimals else text
 
 
 def _pairs(points: Column, decimals: int, between: str = " ") -> Column:
@@ -58,15 +63,14 @@ def _svg(points: Column, box: Box | None, decimals: int, close: bool) -> Column:
         x, y = (p["x"], p["y"]) if box is None else box.to_pixel(p["x"], p["y"])
         return F.concat_ws(" ", number(x, decimals), number(y, decimals))
 
-    shown = F.transform(points, place)
-    before = F.concat(F.array(F.lit("")), F.slice(shown, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0))))
-    both = F.zip_with(shown, before, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    fresh = F.transform(F.filter(both, lambda b: b["p"] != b["q"]), lambda b: b["p"])
+    def path(p: Column) -> Column:
+        more = F.when(F.size(p) > 1, F.concat(F.lit(" "), F.array_join(F.slice(p, F.lit(2), F.size(p)), " "))).otherwise(F.lit(""))
+        return F.when(F.size(p) > (2 if close else 1), F.concat(F.lit("M"), F.get(p, F.lit(0)), more, F.lit("Z" if close else ""))).otherwise(F.lit(""))
+
+    fresh = _let(F.transform(points, place), lambda shown: F.filter(shown, lambda p, i: p != F.coalesce(F.get(shown, i - 1), F.lit(""))))
     if close:
-        fresh = F.when((F.size(fresh) > 1) & (F.get(fresh, F.lit(0)) == F.element_at(fresh, -1)), F.slice(fresh, F.lit(1), F.size(fresh) - 1)).otherwise(fresh)
-    head, rest = F.get(fresh, F.lit(0)), F.array_join(F.slice(fresh, F.lit(2), F.size(fresh)), " ")
-    path = F.concat(F.lit("M"), head, F.when(F.size(fresh) > 1, F.concat(F.lit(" "), rest)).otherwise(F.lit("")), F.lit("Z" if close else ""))
-    return F.when(F.size(fresh) > (2 if close else 1), path).otherwise(F.lit(""))
+        fresh = _let(fresh, lambda p: F.when((F.size(p) > 1) & (F.get(p, F.lit(0)) == F.element_at(p, -1)), F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+    return _let(fresh, path)
 
 
 def svg_line(points: Column, box: Box | None = None, decimals: int = 1) -> Column:

@@ -33,3 +33,13 @@ def test_smallest_container_on_the_edge_of_a_cell(spark):
     holes = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.0, 1.0), (3, 9.0, 9.0), (4, 20.0, 1.0)], "hole long, x double, y double")
     got = joins.smallest_container(holes, exteriors, 8.0, "hole", "ext").collect()
     assert sorted(map(tuple, got)) == [(1, 2), (2, 3), (3, 1)]
+
+
+def test_svg_path_makes_each_number_once(spark):
+    """Two numbers to a vertex, in one place of the expression."""
+    ring = square(F.col("id").cast("double"), F.lit(0.0), F.lit(1.0))
+    df = spark.range(1).select(text.svg_polygon(F.array(ring), None, 1).alias("svg"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("format_string") == 2
+    assert df.first()[0] == "M0 0 1 0 1 1 0 1Z"
+    near = spark.range(1).select(text.number(F.lit(-0.04), 1), text.number(F.lit(-0.4), 0), text.number(F.lit(-10.0), 1))
+    assert tuple(near.first()) == ("0", "0", "-10")
