@@ -43,3 +43,26 @@ def test_svg_path_makes_each_number_once(spark):
     assert df.first()[0] == "M0 0 1 0 1 1 0 1Z"
     near = spark.range(1).select(text.number(F.lit(-0.04), 1), text.number(F.lit(-0.4), 0), text.number(F.lit(-10.0), 1))
     assert tuple(near.first()) == ("0", "0", "-10")
+
+
+def test_smoothing_shares_vertices_within_a_set_only(spark):
+    """Rings of two sets that meet by chance share nothing; copies within a set do."""
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
+    rows = [(1, 0, ring), (2, 0, ring), (2, 1, ring), (3, 0, [(4.0, 0.0), (9.0, 0.0), (9.0, 9.0), (4.0, 0.0)])]
+    df = spark.createDataFrame(rows, schema.T.StructType([schema.T.StructField("k", schema.T.LongType()), schema.T.StructField("copy", schema.T.IntegerType()), schema.T.StructField("points", schema.RING)]))
+    counts = {(r["k"], r["copy"]): set(r["counts"]) for r in spatial.with_counts(df, "k", "copy", within=("k",)).collect()}
+    assert counts == {(1, 0): {1}, (2, 0): {2}, (2, 1): {2}, (3, 0): {1}}
+
+
+def test_smooth_average_of_suppliers_whose_wheels_meet(spark, tmp_path):
+    """Wheels 20 apart have a vertex at one place."""
+    import duckdb
+
+    from geolith.plans import registry
+
+    path = str(tmp_path / "supplier.parquet")
+    duckdb.sql("COPY (SELECT unnest(range(0, 4000)) AS s_suppkey) TO '" + path + "'")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW supplier AS FROM '{path}'")
+    for name in ("smooth_average", "smooth_taubin"):
+        got = registry.queries()[name](spark, str(tmp_path)).select("s_suppkey", "copy", "vertices", "area").collect()
+        assert sorted(map(tuple, got)) == sorted(duckdb.sql(f"SELECT s_suppkey, copy, vertices, area FROM ({registry.oracle_sql()[name]})").fetchall())
