@@ -66,3 +66,37 @@ def test_smooth_average_of_suppliers_whose_wheels_meet(spark, tmp_path):
     for name in ("smooth_average", "smooth_taubin"):
         got = registry.queries()[name](spark, str(tmp_path)).select("s_suppkey", "copy", "vertices", "area").collect()
         assert sorted(map(tuple, got)) == sorted(duckdb.sql(f"SELECT s_suppkey, copy, vertices, area FROM ({registry.oracle_sql()[name]})").fetchall())
+
+
+def _area(polygons):
+    from geolith.operators.regions import signed_area
+
+    return sum(signed_area(r) for p in polygons for r in p)
+
+
+@pytest.mark.parametrize(("x", "y", "side"), [(201.0, 534.0, 78.0), (553.0, 535.0, 64.0), (525.0, 511.0, 88.0)])
+def test_overlay_of_squares_that_a_mesh_fails_on(x, y, side):
+    from geolith.operators.triangulation import overlay
+
+    one = [[[(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]]]
+    window = [[[(200.0, 200.0), (600.0, 200.0), (600.0, 600.0), (200.0, 600.0), (200.0, 200.0)]]]
+    shared = (min(x + side, 600) - x) * (min(y + side, 600) - y)
+    want = {"intersection": shared, "difference": side * side - shared, "union": 160000 + side * side - shared}
+    assert {how: _area(overlay(one, window, how)) for how in want} == pytest.approx(want)
+
+
+def test_overlay_of_convex_polygons_needs_no_mesh(monkeypatch):
+    """Shared edges, corners on edges, one in the other, and none of it through a triangulation; other polygons still go there."""
+    from geolith.operators import triangulation as t
+
+    sq = lambda x, y, s: [[[(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]]]
+    cases = [((1.0, 1.0, 2.0), 1), ((0.0, 0.0, 2.0), 4), ((0.5, 0.5, 1.0), 1), ((-1.0, -1.0, 4.0), 4), ((1.0, 0.0, 2.0), 2), ((1.0, 0.5, 1.0), 1)]
+    turned = [[[(1.0, -1.0), (3.0, 1.0), (1.0, 3.0), (-1.0, 1.0), (1.0, -1.0)]]]
+    bent = [[[(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (2.0, 1.0), (0.0, 0.0)]]]
+    assert _area(t.overlay(bent, sq(2.0, 0.0, 2.0), "intersection")) == pytest.approx(1.75)
+    monkeypatch.setattr(t, "_mesh", lambda *_: pytest.fail("a mesh was made"))
+    for b, shared in cases:
+        got = [_area(t.overlay(sq(0.0, 0.0, 2.0), sq(*b), how)) for how in ("intersection", "difference", "union")]
+        assert got == pytest.approx([shared, 4 - shared, 4 + b[2] ** 2 - shared])
+    assert [_area(t.overlay(sq(0.0, 0.0, 2.0), turned, how)) for how in ("intersection", "difference", "union")] == pytest.approx([4, 0, 8])
+    assert len(t.overlay(sq(0.0, 0.0, 3.0), sq(1.0, 1.0, 1.0), "difference")[0]) == 2
