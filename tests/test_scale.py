@@ -100,3 +100,22 @@ def test_overlay_of_convex_polygons_needs_no_mesh(monkeypatch):
         assert got == pytest.approx([shared, 4 - shared, 4 + b[2] ** 2 - shared])
     assert [_area(t.overlay(sq(0.0, 0.0, 2.0), turned, how)) for how in ("intersection", "difference", "union")] == pytest.approx([4, 0, 8])
     assert len(t.overlay(sq(0.0, 0.0, 3.0), sq(1.0, 1.0, 1.0), "difference")[0]) == 2
+
+
+def test_buffer_of_a_bent_line_needs_no_mesh(monkeypatch):
+    """Two stadiums are united from their edges; one bend made the mesh end with StopIteration."""
+    import math
+    import random
+
+    from geolith.operators import triangulation as t
+
+    monkeypatch.setattr(t, "_mesh", lambda *_: pytest.fail("a mesh was made"))
+    rng = random.Random(3)
+    for _ in range(20):
+        path = [(rng.uniform(0, 1e5), rng.uniform(0, 1e5)) for _ in range(3)]
+        rings = t.buffer(path, 1e4)
+        assert rings and rings[0][0] == rings[0][-1]
+        for p in path:
+            assert t.in_ring(rings[0], p)
+    ring = t.buffer([(0.0, 0.0), (1e5, 0.0), (1e5, 1e5)], 1e4)[0]
+    assert t.signed_area(ring) == pytest.approx((40 - 1) * 1e8 + 1.25 * math.pi * 1e8, rel=1e-3)
